@@ -1,0 +1 @@
+"""Intentionally empty: architecture recovery is a batch job over files (see README)."""
