@@ -1,4 +1,7 @@
-"""String expressions with the "no match gives the empty string" rule of the derivation language."""
+"""String expressions with the "no match gives the empty string" rule of the derivation language.
+
+Each mentions its input once, so that nested use stays small in generated code.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +9,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _literal(mark: str) -> str:
+    return rf"\Q{mark}\E"
+
+
 def after(text: Column, mark: str) -> Column:
     """Text behind the first ``mark``; empty when there is none."""
-    at = F.instr(text, mark)
-    return F.when(at > 0, F.substring(text, at + F.lit(len(mark)), F.length(text))).otherwise("")
+    return F.regexp_extract(text, f"(?s)^.*?{_literal(mark)}(.*)$", 1)
 
 
 def before(text: Column, mark: str) -> Column:
     """Text in front of the first ``mark``; empty when there is none."""
-    return F.when(F.instr(text, mark) > 0, F.substring_index(text, mark, 1)).otherwise("")
+    return F.regexp_extract(text, f"(?s)^(.*?){_literal(mark)}", 1)
 
 
 def between(text: Column, left: str, right: str) -> Column:
-    return before(after(text, left), right)
+    """Text behind the first ``left`` and in front of the first ``right`` after it."""
+    return F.regexp_extract(text, f"(?s)^.*?{_literal(left)}(.*?){_literal(right)}", 1)
 
 
 def quoted(text: Column) -> Column:

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope import rules
-from fleetscope.functions import contains_lit, order_key
+from fleetscope.functions import order_key
 from fleetscope.functions.ordering import ANNOTATION, CONTAINER, LIBRARY, METHOD, PROPERTY, REGISTRY_PAIR, TYPE
 from fleetscope.operators import evidence
-from fleetscope.operators.flags import gate, matched_test, module_flags, registry_pair, value_passes
+from fleetscope.operators.flags import gate, matched_test, registry_pair, value_passes
 
 COLUMNS = ["app_id", "service", "kind", "category", "technology", "environment", "evidence", "ord"]
 ELEMENT = ["app_id", "service", "kind", "category"]
@@ -28,10 +28,6 @@ class Merged(NamedTuple):
     evidence: DataFrame
 
 
-def _text(name: str):
-    return F.col(name).cast("string")
-
-
 def from_containers(containers: DataFrame) -> DataFrame:
     spark = containers.sparkSession
     image_rules = rules.table(
@@ -99,7 +95,7 @@ def from_properties(properties: DataFrame, flags: DataFrame) -> DataFrame:
     )
     hits = (
         properties.withColumn(
-            "test", matched_test(F.col("name"), [(row[0], row[1]) for row in rules.PROPERTY_COMPONENTS])
+            "test", matched_test("name", [(row[0], row[1]) for row in rules.PROPERTY_COMPONENTS])
         )
         .where(F.col("test").isNotNull())
         .join(property_rules, "test")
@@ -185,8 +181,7 @@ def from_invocations(invocations: DataFrame) -> DataFrame:
     )
 
 
-def contributions(facts) -> DataFrame:
-    flags = module_flags(facts.library, facts.property, facts.java_annotation)
+def contributions(facts, flags: DataFrame) -> DataFrame:
     return reduce(
         DataFrame.unionByName,
         (

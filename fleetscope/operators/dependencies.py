@@ -57,13 +57,9 @@ def from_links(links: DataFrame, containers: DataFrame) -> DataFrame:
 
 
 def _provider_of_url(url: Column) -> Column:
-    behind = after(url, "://")
-    host = F.when(contains_lit(behind, ":"), before(behind, ":")).otherwise(behind)
-    return (
-        F.when(contains_lit(host, "}"), before(host, "}"))
-        .when(contains_lit(host, "/"), before(host, "/"))
-        .otherwise(host)
-    )
+    """Host of a URL: up to a colon, then up to a closing brace, or without one up to a slash."""
+    host = F.regexp_extract(url, "(?s)^.*?://([^:]*)", 1)
+    return F.regexp_replace(host, r"(?s)^(?:([^}]*)\}.*|([^}/]*)/[^}]*)$", "$1$2")
 
 
 def _behind_provider(url: Column, provider: Column) -> Column:
@@ -85,7 +81,7 @@ def from_properties(properties: DataFrame, flags: DataFrame) -> DataFrame:
         evidence.property_evidence(F.col("name")).alias("evidence"),
         order_key(PROPERTY, F.col("seq")).alias("ord"),
     )
-    hosts = source.where(matched_test(F.col("name"), rules.HOST_DEPENDENCIES).isNotNull()).withColumn(
+    hosts = source.where(matched_test("name", rules.HOST_DEPENDENCIES).isNotNull()).withColumn(
         "provider", F.lower("value")
     )
     host_rows = _contribution(
@@ -103,7 +99,7 @@ def from_properties(properties: DataFrame, flags: DataFrame) -> DataFrame:
     )
     provider = _provider_of_url(F.col("value"))
     urls = (
-        source.withColumn("test", matched_test(F.col("name"), [(row[0], row[1]) for row in rules.URL_DEPENDENCIES]))
+        source.withColumn("test", matched_test("name", [(row[0], row[1]) for row in rules.URL_DEPENDENCIES]))
         .where(F.col("test").isNotNull())
         .join(url_rules, "test")
         .withColumn("provider", provider)

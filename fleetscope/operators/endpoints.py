@@ -87,7 +87,7 @@ def from_properties(properties: DataFrame, flags: DataFrame) -> DataFrame:
     )
     hits = (
         properties.withColumn(
-            "test", matched_test(F.col("name"), [(row[0], row[1]) for row in rules.PROPERTY_ENDPOINTS])
+            "test", matched_test("name", [(row[0], row[1]) for row in rules.PROPERTY_ENDPOINTS])
         )
         .where(F.col("test").isNotNull())
         .join(property_rules, "test")
@@ -284,11 +284,8 @@ def type_born(facts, flags: DataFrame, prefixes: DataFrame) -> DataFrame:
     return with_prefix(raw, prefixes)
 
 
-def method_born(facts, prefixes: DataFrame) -> DataFrame:
+def method_born(facts, prefixes: DataFrame, repositories: DataFrame) -> DataFrame:
     """Methods that are endpoints: controller methods and repository searches, with their ``uri``."""
-    repositories = java.repository_types(
-        facts.java_type, facts.java_annotation, facts.annotation_param, prefixes
-    )
     searches = java.repository_searches(
         repositories, facts.java_method, facts.method_param, facts.java_annotation
     )
@@ -298,17 +295,13 @@ def method_born(facts, prefixes: DataFrame) -> DataFrame:
     return searches.select(*controllers.columns).unionByName(controllers)
 
 
-def contributions(facts, flags: DataFrame, prefixes: DataFrame) -> DataFrame:
-    repositories = java.repository_types(
-        facts.java_type, facts.java_annotation, facts.annotation_param, prefixes
-    )
-    parts = [
-        from_containers(facts.container),
-        java.repository_collections(repositories),
-        of_methods(method_born(facts, prefixes)),
-    ]
+def all_contributions(
+    of_containers: DataFrame,
+    of_modules: DataFrame,
+    of_types: DataFrame,
+    repositories: DataFrame,
+    endpoint_methods: DataFrame,
+) -> DataFrame:
+    parts = (of_containers, java.repository_collections(repositories), of_methods(endpoint_methods))
     single = [part.withColumn("last_ord", F.col("ord")) for part in parts]
-    return reduce(
-        DataFrame.unionByName,
-        [module_born(facts, flags, prefixes), type_born(facts, flags, prefixes), *single],
-    )
+    return reduce(DataFrame.unionByName, [of_modules, of_types, *single])

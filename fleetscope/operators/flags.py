@@ -20,27 +20,30 @@ _NO_REGISTER, _NO_FETCH, _EUREKA_ANNOTATION = "no_register", "no_fetch", "eureka
 _RUNNING = (rules.ACTUATOR, rules.HYSTRIX, rules.CONFIG_CLIENT, rules.ZUUL, rules.EUREKA)
 
 
-def matched_test(name: Column, tests) -> Column:
-    """The text of the test a name meets, else null.
+def matched_test(name: str, tests) -> Column:
+    """The text of the test the column ``name`` meets, else null.
 
     No name meets an exact test and a prefix test of one rule table other than through the longer
     text, so longer texts go first and the rule table is then looked up by a hash join.
     """
-    conditions = {
-        rules.EXACT: lambda text: name == text,
-        rules.PREFIX: lambda text: name.startswith(text),
-        rules.SUFFIX: lambda text: name.endswith(text),
-    }
     ordered = sorted({(match, text) for match, text in tests}, key=lambda test: (-len(test[1]), test))
-    return F.coalesce(*[F.when(conditions[match](text), F.lit(text)) for match, text in ordered])
+    return F.expr(f"CASE {' '.join(f"WHEN {_condition(match, name, text)} THEN '{text}'" for match, text in ordered)} END")
+
+
+def _condition(match: str, name: str, text: str) -> str:
+    return {
+        rules.EXACT: f"{name} = '{text}'",
+        rules.PREFIX: f"startswith({name}, '{text}')",
+        rules.SUFFIX: f"endswith({name}, '{text}')",
+    }[match]
 
 
 def value_passes(test: Column, value: Column) -> Column:
     return (test == rules.ANY_VALUE) | (value != "0")
 
 
-def _is_false(name: Column, value: Column, wanted: str) -> Column:
-    return (name == wanted) & (value == "false")
+def _is_false(wanted: str) -> str:
+    return f"(name = '{wanted}' AND value = 'false')"
 
 
 def module_flags(libraries: DataFrame, properties: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -49,30 +52,32 @@ def module_flags(libraries: DataFrame, properties: DataFrame, annotations: DataF
     ``first_eureka`` covers libraries and the "neither registers nor fetches" property pair;
     ``eureka_annotation`` is the position of the first server annotation, seen by dependencies only.
     """
-    library_flag = F.coalesce(
-        *[F.when(F.col("library_name").isin(*names), F.lit(flag)) for names, flag in rules.LIBRARY_FLAGS]
-    )
+    library_cases = [
+        f"WHEN library_name IN ({', '.join(repr(name) for name in names)}) THEN '{flag}'"
+        for names, flag in rules.LIBRARY_FLAGS
+    ]
     from_libraries = libraries.select(
-        "app_id", "project", library_flag.alias("flag"), order_key(LIBRARY, F.col("seq")).alias("ord")
+        "app_id",
+        "project",
+        F.expr(f"CASE {' '.join(library_cases)} END").alias("flag"),
+        order_key(LIBRARY, F.col("seq")).alias("ord"),
     )
 
-    name, value = F.col("name"), F.col("value")
-    tests = {
-        rules.EXACT: lambda text: name == text,
-        rules.PREFIX: lambda text: name.startswith(text),
-    }
-    property_flag = F.coalesce(
-        *[
-            F.when(tests[match](text) & value_passes(F.lit(check), value), F.lit(flag))
-            for match, text, check, flag in rules.PROPERTY_FLAGS
-        ],
-        F.when(_is_false(name, value, rules.NO_REGISTER_PROPERTY), F.lit(_NO_REGISTER)),
-        F.when(_is_false(name, value, rules.NO_FETCH_PROPERTY), F.lit(_NO_FETCH)),
+    property_cases = [
+        f"WHEN {_condition(match, 'name', text)} {"AND value <> '0'" if check == rules.NOT_ZERO else ''} THEN '{flag}'"
+        for match, text, check, flag in rules.PROPERTY_FLAGS
+    ]
+    property_cases += [
+        f"WHEN {_is_false(rules.NO_REGISTER_PROPERTY)} THEN '{_NO_REGISTER}'",
+        f"WHEN {_is_false(rules.NO_FETCH_PROPERTY)} THEN '{_NO_FETCH}'",
+    ]
+    flagged = properties.select(
+        "app_id", "project", "seq", F.expr(f"CASE {' '.join(property_cases)} END").alias("flag")
     )
-    from_properties = properties.select(
+    from_properties = flagged.select(
         "app_id",
         "project",
-        property_flag.alias("flag"),
+        "flag",
         F.when(F.col("flag") == _NO_REGISTER, order_key(REGISTRY_PAIR, F.col("seq")))
         .otherwise(order_key(PROPERTY, F.col("seq")))
         .alias("ord"),
@@ -88,10 +93,10 @@ def module_flags(libraries: DataFrame, properties: DataFrame, annotations: DataF
     triggers = reduce(DataFrame.unionByName, (from_libraries, from_properties, from_annotations))
     firsts = triggers.where(F.col("flag").isNotNull()).groupBy("app_id", "project").agg(
         *[
-            F.min(F.when(F.col("flag") == flag, F.col("ord"))).alias(f"first_{flag}")
+            F.expr(f"min(ord) FILTER (WHERE flag = '{flag}') AS first_{flag}")
             for flag in (*_RUNNING, _NO_REGISTER, _NO_FETCH)
         ],
-        F.min(F.when(F.col("flag") == _EUREKA_ANNOTATION, F.col("ord"))).alias(_EUREKA_ANNOTATION),
+        F.expr(f"min(ord) FILTER (WHERE flag = '{_EUREKA_ANNOTATION}') AS {_EUREKA_ANNOTATION}"),
     )
     pair = F.when(F.col(f"first_{_NO_FETCH}").isNotNull(), F.col(f"first_{_NO_REGISTER}"))
     return firsts.withColumn("first_eureka", F.least("first_eureka", pair)).drop(
@@ -101,9 +106,8 @@ def module_flags(libraries: DataFrame, properties: DataFrame, annotations: DataF
 
 def registry_pair(properties: DataFrame) -> DataFrame:
     """Modules that neither register with nor fetch from a registry: the first "do not register" property."""
-    name, value = F.col("name"), F.col("value")
-    register = _is_false(name, value, rules.NO_REGISTER_PROPERTY)
-    fetch = _is_false(name, value, rules.NO_FETCH_PROPERTY)
+    register = F.expr(_is_false(rules.NO_REGISTER_PROPERTY))
+    fetch = F.expr(_is_false(rules.NO_FETCH_PROPERTY))
     return (
         properties.where(register | fetch)
         .groupBy("app_id", "project")
@@ -123,9 +127,8 @@ def gate(candidates: DataFrame, flags: DataFrame) -> DataFrame:
     ``needs`` and ``unless`` name a flag or are null. Candidates without either skip the join.
     """
     free = candidates.where(F.col("needs").isNull() & F.col("unless").isNull())
-    first = F.coalesce(
-        *[F.when(F.col("needs") == flag, F.col(f"first_{flag}")) for flag in _RUNNING if flag != rules.EUREKA]
-    )
+    cases = " ".join(f"WHEN '{flag}' THEN first_{flag}" for flag in _RUNNING if flag != rules.EUREKA)
+    first = F.expr(f"CASE needs {cases} END")
     gated = (
         candidates.where(F.col("needs").isNotNull() | F.col("unless").isNotNull())
         .join(flags, ["app_id", "project"], "left")

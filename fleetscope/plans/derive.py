@@ -30,8 +30,17 @@ def derive(facts: Facts, materialize: Callable[[DataFrame], DataFrame] = lambda
 
     architecture = services.architecture(facts.application, facts.app_project)
     service = services.merge_services(facts.container, facts.module)
-    component = components.merge_components(components.contributions(facts))
-    endpoint = endpoints.merge_endpoints(endpoints.contributions(facts, flags, prefixes))
+    component = components.merge_components(components.contributions(facts, flags))
+    repositories = java.repository_types(
+        facts.java_type, facts.java_annotation, facts.annotation_param, prefixes
+    )
+    endpoint_methods = endpoints.method_born(facts, prefixes, repositories)
+    of_containers = endpoints.from_containers(facts.container)
+    of_modules = endpoints.module_born(facts, flags, prefixes)
+    of_types = endpoints.type_born(facts, flags, prefixes)
+    endpoint = endpoints.merge_endpoints(
+        endpoints.all_contributions(of_containers, of_modules, of_types, repositories, endpoint_methods)
+    )
     listener = endpoints.merge_listeners(listeners)
     queues = listener.rows.select("app_id", "service", "queue")
     dependency = dependencies.merge_dependencies(dependencies.contributions(facts, flags, queues))
@@ -40,7 +49,6 @@ def derive(facts: Facts, materialize: Callable[[DataFrame], DataFrame] = lambda
     endpoint_rows = materialize(endpoint.rows)
     typed = services.classify_services(service.rows, component_rows)
 
-    endpoint_methods = endpoints.method_born(facts, prefixes)
     bodies = java.body_params(facts.method_param, facts.java_annotation)
     statuses = java.response_statuses(facts.java_annotation, facts.annotation_param)
     firsts = java.first_params(facts.method_param)
@@ -48,8 +56,8 @@ def derive(facts: Facts, materialize: Callable[[DataFrame], DataFrame] = lambda
         reduce(
             DataFrame.unionByName,
             (
-                endpoints.container_messages(endpoints.from_containers(facts.container)),
-                endpoints.module_messages(endpoints.module_born(facts, flags, prefixes)),
+                endpoints.container_messages(of_containers),
+                endpoints.module_messages(of_modules),
                 java.method_messages(endpoint_methods, bodies),
                 java.listener_messages(listeners, firsts),
             ),

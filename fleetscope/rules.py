@@ -6,8 +6,11 @@ broadcasting them safe at any data size.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # --- Fixed values: infrastructure categories, in their declared order (0-20) ---
 API_GATEWAY = "Service_Routing_Pattern_API_Gateway_and_Proxy"
@@ -365,5 +368,10 @@ def annotation_endpoint_rows():
 
 
 def table(spark: SparkSession, rows, columns: str) -> DataFrame:
-    """A rule table, marked for broadcast: its size is fixed by this module."""
-    return F.broadcast(spark.createDataFrame(rows, columns))
+    """A rule table, marked for broadcast: its size is fixed by this module.
+
+    Built from Arrow it is a local relation, so broadcasting it starts no job.
+    """
+    schema = T.StructType.fromDDL(columns)
+    arrays = [pa.array(values, to_arrow_type(field.dataType)) for values, field in zip(zip(*rows), schema)]
+    return F.broadcast(spark.createDataFrame(pa.table(arrays, names=schema.names)))
