@@ -219,9 +219,11 @@ def from_async(invocations: DataFrame, args: DataFrame, queues: DataFrame, stric
         .withColumn("routing", routing_key(F.col("key_text"), strict))
         .where(F.col("routing") != "")
     )
-    # Equal sends of one service merge anyway; fewer keys meet the queues.
-    keys = sends.groupBy("app_id", "project", "routing", "root_method", "profile", "callee").agg(
-        F.min("seq").alias("seq")
+    # Of equal sends only the first and the last position count; fewer keys meet the queues.
+    keys = (
+        sends.groupBy("app_id", "project", "routing", "root_method", "profile", "callee")
+        .agg(F.array_distinct(F.array(F.min("seq"), F.max("seq"))).alias("ends"))
+        .withColumn("seq", F.explode("ends"))
     )
     listeners = queues.select("app_id", F.col("service").alias("provider"), "queue").distinct()
     wanted = keys.select("app_id", "routing").distinct()
