@@ -35,3 +35,8 @@ def quoted(text: Column) -> Column:
 
 def contains_lit(text: Column, part: str) -> Column:
     return F.instr(text, part) > 0
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
