@@ -18,7 +18,7 @@ def query(name: str, sql: str | None = None, used: tuple[str, ...] = ()):
     def add(build: Callable[[LazyFacts], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: build(LazyFacts(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = with_facts(sql, *used)
+            ORACLES[name] = with_facts(sql, *used).replace("WITH RECURSIVE_", "WITH RECURSIVE ").replace("RECURSIVE_", "")
         return build
 
     return add

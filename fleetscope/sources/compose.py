@@ -113,7 +113,7 @@ def read_dockerfiles(files: DataFrame) -> DataFrame:
         "app_id",
         "path",
         directory(F.col("path")).alias("directory"),
-        F.posexplode(F.transform(text_lines(F.col("content")), F.trim)).alias("line_no", "line"),
+        F.posexplode(F.transform(text_lines(F.col("content")), lambda line: F.trim(line))).alias("line_no", "line"),
     )
     image = F.regexp_extract("line", r"FROM\s+(.+)", 1)
     port = F.regexp_extract("line", r"EXPOSE\s+(.+)", 1)

@@ -183,8 +183,8 @@ def test_circles_are_rejected(spark):
         [("a", "z/pom.xml", 0, "g", "lib", "COMPILE")],
         "app_id string, path string, pos int, group_name string, library_name string, scope string",
     )
-    occurrences, rejected = build.library_occurrences(poms, deps, max_depth=3)
-    assert rows(rejected, "path") == {("x/pom.xml",), ("y/pom.xml",)}
+    occurrences, rejected = build.library_occurrences(poms, deps)
+    assert rows(rejected, "path", "child") == {("x/pom.xml", "x/pom.xml"), ("y/pom.xml", "y/pom.xml")}
     assert rows(occurrences, "path", "library_name") == {("z/pom.xml", "lib")}
 
 
