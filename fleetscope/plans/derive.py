@@ -20,13 +20,15 @@ DEPENDENCY_COLUMNS = ["app_id", "service", "provider", "destination", "operation
 def derive(facts: Facts, materialize: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
     """All derived tables.
 
-    ``materialize`` is applied to the merged tables that several topology rules read; pass
+    ``materialize`` is applied to the tables that several rules read; pass
     ``fleetscope.functions.runtime.cut_lineage`` for big runs so that they are computed once.
     """
     tune(facts.container.sparkSession)
     flags = materialize(module_flags(facts.library, facts.property, facts.java_annotation))
     prefixes = materialize(endpoints.endpoint_prefixes(facts.property))
-    listeners = java.queue_listeners(facts.java_method, facts.java_annotation, facts.annotation_param)
+    listeners = materialize(
+        java.queue_listeners(facts.java_method, facts.java_annotation, facts.annotation_param)
+    )
 
     architecture = services.architecture(facts.application, facts.app_project)
     service = services.merge_services(facts.container, facts.module)
@@ -34,9 +36,9 @@ def derive(facts: Facts, materialize: Callable[[DataFrame], DataFrame] = lambda
     repositories = java.repository_types(
         facts.java_type, facts.java_annotation, facts.annotation_param, prefixes
     )
-    endpoint_methods = endpoints.method_born(facts, prefixes, repositories)
+    endpoint_methods = materialize(endpoints.method_born(facts, prefixes, repositories))
     of_containers = endpoints.from_containers(facts.container)
-    of_modules = endpoints.module_born(facts, flags, prefixes)
+    of_modules = materialize(endpoints.module_born(facts, flags, prefixes))
     of_types = endpoints.type_born(facts, flags, prefixes)
     endpoint = endpoints.merge_endpoints(
         endpoints.all_contributions(of_containers, of_modules, of_types, repositories, endpoint_methods)
@@ -74,7 +76,8 @@ def derive(facts: Facts, materialize: Callable[[DataFrame], DataFrame] = lambda
     forwarded = topology.gateway_routes(routes, endpoint_rows).unionByName(
         topology.gateway_default_routes(gateway_services, routes, facts.property, component_rows, endpoint_rows)
     )
-    direct = dependency.rows.select(*DEPENDENCY_COLUMNS).unionByName(
+    dependency_rows = materialize(dependency.rows.select(*DEPENDENCY_COLUMNS))
+    direct = dependency_rows.unionByName(
         topology.circuit_breaker_dependencies(component_rows, endpoint_rows), allowMissingColumns=True
     )
     every_dependency = direct.unionByName(

@@ -15,8 +15,10 @@ def spark():
         .appName("fleetscope-tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "6g")
+        .config("spark.driver.memory", "10g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.ui.retainedExecutions", "1")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fleetscope.functions.runtime import cut_lineage
 from fleetscope.operators import build
 from fleetscope.plans.derive import derive
 from fleetscope.plans.extract import extract
@@ -84,8 +85,8 @@ def recovered(spark):
     apps = spark.createDataFrame([("shop", "Shop", "/src")], "app_id string, app_name string, package_url string")
     dirs = spark.createDataFrame([("shop", "config")], "app_id string, config_dir string")
     facts, rejected = extract(files, apps, dirs)
-    facts = type(facts)(**{name: df.cache() for name, df in facts.tables().items()})
-    return facts, {name: df.cache() for name, df in derive(facts, lambda df: df.cache()).items()}
+    facts = type(facts)(**{name: cut_lineage(df) for name, df in facts.tables().items()})
+    return facts, {name: cut_lineage(df) for name, df in derive(facts, cut_lineage).items()}
 
 
 def rows(df, *columns):

@@ -2,6 +2,7 @@ import music_store
 import pytest
 
 from fleetscope import rules
+from fleetscope.functions.runtime import cut_lineage
 from fleetscope.plans.derive import derive
 from fleetscope.schema import Facts, fact_schema
 
@@ -12,7 +13,7 @@ def derived(spark):
         name: spark.createDataFrame(rows, fact_schema(name)).repartition(3)
         for name, rows in music_store.rows().items()
     }
-    return {name: df.cache() for name, df in derive(Facts.of(spark, tables)).items()}
+    return {name: df.cache() for name, df in derive(Facts.of(spark, tables), cut_lineage).items()}
 
 
 def found(df, *columns, **wanted):
