@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalog.facts import SERVICES, div, text
 from catalog.registry import query
 from fleetscope import rules
+from fleetscope.functions.runtime import cut_lineage
 from fleetscope.operators import build, config as config_ops, deploy
 from fleetscope.sources import config, export, files as file_ops, java, model_file, pom
 from fleetscope.sources.compose import read_compose, read_dockerfiles
@@ -629,7 +630,8 @@ def java_files(f):
 
 def java_parts(f):
     source = java_files(f)
-    segments = java.source_segments(source)
+    # Types, members, calls and local variables all read the segments: parse once.
+    segments = cut_lineage(java.source_segments(source))
     types = java.java_types(segments)
     return source, segments, types
 

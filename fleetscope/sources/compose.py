@@ -73,38 +73,40 @@ def read_compose(files: DataFrame) -> DataFrame:
     Services stand at top level (version 1) or below ``services``; only entries with ``build`` or
     ``image`` count.
     """
-    entries = files.where(F.col("path").rlike(r"\.ya?ml$")).select(
-        "app_id", "path", yaml_entries(F.col("content")).alias("entries")
-    )
-    base = F.when(F.exists("entries", lambda e: F.get(e["path"], F.lit(0)) == "services"), 1).otherwise(0)
-    inside = entries.withColumn("base", base).withColumn(
-        "entries",
-        F.filter(
-            "entries",
-            lambda e: (F.size(e["path"]) > F.col("base") + 1)
-            & ((F.col("base") == 0) | (F.get(e["path"], F.lit(0)) == "services")),
-        ),
-    )
-    usable = F.transform(
-        F.filter("entries", lambda e: F.get(e["path"], F.col("base") + 1).isin("build", "image")),
-        lambda e: F.get(e["path"], F.col("base")),
+
+    def usable_entries(entries: Column) -> Column:
+        base = F.when(F.exists(entries, lambda e: F.get(e["path"], F.lit(0)) == "services"), 1).otherwise(0)
+        return let(base, lambda at: of_services(entries, at))
+
+    def of_services(entries: Column, base: Column) -> Column:
+        numbered = F.transform(
+            entries,
+            lambda e, no: F.struct(
+                no.alias("pos"),
+                F.get(e["path"], base).alias("container"),
+                F.get(e["path"], base + 1).alias("key"),
+                F.get(e["path"], base + 2).alias("sub"),
+                e["value"].alias("value"),
+                e["item"].alias("item"),
+                ((base == 0) | (F.get(e["path"], F.lit(0)) == "services")).alias("inside"),
+            ),
+        )
+        inside = F.filter(numbered, lambda e: e["inside"] & e["key"].isNotNull())
+        return let(inside, with_image_or_build)
+
+    def with_image_or_build(entries: Column) -> Column:
+        named = F.transform(F.filter(entries, lambda e: e["key"].isin("build", "image")), lambda e: e["container"])
+        return let(
+            F.array_distinct(named),
+            lambda names: F.filter(entries, lambda e: F.array_contains(names, e["container"])),
+        )
+
+    # Bound once by let(): a column used inside a lambda would be parsed again for every element.
+    return (
+        files.where(F.col("path").rlike(r"\.ya?ml$"))
+        .select("app_id", "path", F.inline(let(yaml_entries(F.col("content")), usable_entries)))
+        .drop("inside")
     )
-    rows = inside.select(
-        "app_id", "path", "base", F.array_distinct(usable).alias("usable"),
-        F.posexplode("entries").alias("pos", "entry"),
-    )
-    at = F.col("entry.path")
-    return rows.select(
-        "app_id",
-        "path",
-        "pos",
-        F.get(at, F.col("base")).alias("container"),
-        F.get(at, F.col("base") + 1).alias("key"),
-        F.get(at, F.col("base") + 2).alias("sub"),
-        F.col("entry.value").alias("value"),
-        F.col("entry.item").alias("item"),
-        "usable",
-    ).where(F.array_contains("usable", F.col("container"))).drop("usable")
 
 
 def read_dockerfiles(files: DataFrame) -> DataFrame:

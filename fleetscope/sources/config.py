@@ -100,9 +100,11 @@ def config_lines(files: DataFrame) -> DataFrame:
 
 def split_documents(lines: Column) -> Column:
     """Lines -> array of (doc, line): a mark closes a document and a leading mark leaves an empty one."""
-    numbers = running_states(lines, F.lit(0), lambda doc, line: doc + F.when(line == DOCUMENT_MARK, 1).otherwise(0))
-    pairs = F.zip_with(numbers, lines, lambda doc, line: F.struct(doc.alias("doc"), line.alias("line")))
-    return F.filter(pairs, lambda pair: pair["line"] != DOCUMENT_MARK)
+    def numbered(rows: Column) -> Column:
+        numbers = running_states(rows, F.lit(0), lambda doc, line: doc + F.when(line == DOCUMENT_MARK, 1).otherwise(0))
+        return F.zip_with(numbers, rows, lambda doc, line: F.struct(doc.alias("doc"), line.alias("line")))
+
+    return F.filter(let(lines, numbered), lambda pair: pair["line"] != DOCUMENT_MARK)
 
 
 def split_key_value(line: Column) -> tuple[Column, Column]:
