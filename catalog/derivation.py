@@ -941,7 +941,8 @@ dependency AS (
 
 def dependencies_of(f):
     queues = endpoints.merge_listeners(listeners_of(f)).rows.select("app_id", "service", "queue")
-    return dependencies.merge_dependencies(dependencies.contributions(f, flags_of(f), queues))
+    # The merge reads its contributions several times.
+    return dependencies.merge_dependencies(cut_lineage(dependencies.contributions(f, flags_of(f), queues)))
 
 
 @query("merge_dependencies", f"{ALL_DEPENDENCIES} SELECT * FROM dependency", DEPENDENCY_FACTS)

@@ -32,7 +32,7 @@ def derive(facts: Facts, materialize: Callable[[DataFrame], DataFrame] = lambda
 
     architecture = services.architecture(facts.application, facts.app_project)
     service = services.merge_services(facts.container, facts.module)
-    component = components.merge_components(components.contributions(facts, flags))
+    component = components.merge_components(materialize(components.contributions(facts, flags)))
     repositories = java.repository_types(
         facts.java_type, facts.java_annotation, facts.annotation_param, prefixes
     )
@@ -41,11 +41,15 @@ def derive(facts: Facts, materialize: Callable[[DataFrame], DataFrame] = lambda
     of_modules = materialize(endpoints.module_born(facts, flags, prefixes))
     of_types = endpoints.type_born(facts, flags, prefixes)
     endpoint = endpoints.merge_endpoints(
-        endpoints.all_contributions(of_containers, of_modules, of_types, repositories, endpoint_methods)
+        materialize(
+            endpoints.all_contributions(of_containers, of_modules, of_types, repositories, endpoint_methods)
+        )
     )
     listener = endpoints.merge_listeners(listeners)
     queues = listener.rows.select("app_id", "service", "queue")
-    dependency = dependencies.merge_dependencies(dependencies.contributions(facts, flags, queues))
+    dependency = dependencies.merge_dependencies(
+        materialize(dependencies.contributions(facts, flags, queues))
+    )
 
     component_rows = materialize(component.rows)
     endpoint_rows = materialize(endpoint.rows)
