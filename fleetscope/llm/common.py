@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
+from types import ModuleType
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -76,6 +78,14 @@ class Lookup(dict):
             self.clear()
 
 
+def worker_cache(name: str, make):
+    """An object kept in a Python worker from task to task, such as a table of words seen before."""
+    kept = sys.modules.setdefault("_fleetscope_worker", ModuleType("_fleetscope_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash, element by element."""
     values = values ^ (values >> np.uint64(30))
