@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from fleetscope.llm.common import fold, labelled_sample
 from fleetscope.llm.features import WIDTH, NGrams, keep_frequent, sigmoid, sparse
@@ -112,23 +111,42 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     return train(rows, np.array(got.column("label").to_pylist(), np.int64), (ids // 3) % 5 == 0)
 
 
+def scorer(known: dict):
+    """Score of a text, inside a task."""
+    ngrams, ratio, product = NGrams(2, 3), known["ratio"], known["ratio"] * known["weights"]
+    squares = ratio * ratio
+
+    def score(text: str | None) -> float:
+        found = ngrams(text)
+        length = float(squares[found].sum(dtype=np.float64))
+        margin = float(product[found].sum(dtype=np.float64)) / (length**0.5 or 1.0) + known["bias"]
+        return float(sigmoid(known["slope"] * margin + known["offset"]))
+
+    return score
+
+
 def quality_scores(docs: DataFrame, model: dict, at_least: float = 0.7) -> DataFrame:
-    """``docs`` columns ``doc_id`` and ``text`` with held_out, score and predicted."""
+    """``doc_id`` with held_out, score and predicted, a row for each row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**20 ratios and weights
 
     def work(batches):
-        known, ngrams = shared.value, NGrams(2, 3)
-        ratio, product = known["ratio"], known["ratio"] * known["weights"]
-        squares = ratio * ratio
+        score = scorer(shared.value)
         for batch in batches:
-            scores = []
-            for text in batch.column("text").to_pylist():
-                found = ngrams(text)
-                length = float(squares[found].sum(dtype=np.float64))
-                margin = float(product[found].sum(dtype=np.float64)) / (length**0.5 or 1.0) + known["bias"]
-                scores.append(float(sigmoid(known["slope"] * margin + known["offset"])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
-
-    kept = docs.select([field for field in docs.columns if field != "score"])
-    scored = kept.mapInArrow(work, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
-    return scored.withColumns({"held_out": fold("doc_id", PARTS) == HELD, "predicted": (F.col("score") >= at_least).cast("int")})
+            scores = [score(text) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
+
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, score double")
+    return scored.select("doc_id", (fold("doc_id", PARTS) == HELD).alias("held_out"), "score", (F.col("score") >= at_least).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: dict, at_least: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose score is high enough, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def work(batches):
+        score = scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([score(text) >= at_least for text in batch.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import byte_bpe, chat, decontaminate, line_crf, nb_svm, pii, token_orc, toxicity, warc
+from fleetscope.llm import byte_bpe, chat, decontaminate, jaccard_join, line_crf, nb_svm, pii, token_orc, toxicity, warc
 from fleetscope.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,31 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, list_slice(w, pos, pos + 4) AS shingle
+  FROM words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(pos) WHERE len(w) > 0
+), numbered AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY shingle) AS shingle FROM shingles
+), sizes AS (SELECT doc_id, count(*) AS n FROM numbered GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM numbered a JOIN numbered b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  JOIN sizes s ON s.doc_id = a.doc_id JOIN sizes t ON t.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, s.n, t.n HAVING 100 * count(*) >= 75 * (s.n + t.n - count(*))
+), reached AS (
+  SELECT doc_id AS start, doc_id AS node FROM words
+  UNION SELECT start, b FROM reached JOIN links ON a = node
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM words LEFT JOIN sizes USING (doc_id) JOIN (SELECT start AS doc_id, min(node) AS component_id FROM reached GROUP BY start) USING (doc_id)
+""")
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "tokens")
@@ -110,7 +135,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = nb_svm.fit(docs, table(spark, sf_dir, "labels"))
-    return nb_svm.quality_scores(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "score", "predicted")
+    return nb_svm.quality_scores(docs, model)
 
 
 @query()
