@@ -825,7 +825,7 @@ feign_d AS (
   SELECT m.app_id, m.project AS service, {in_quotes('t.param_value')} AS provider,
     'Endpoint[RequestURI:' || upper(verb) || ' ' || path || ']' AS destination, method_name || '()' AS operation,
     profile AS environment, false AS overwrites, true AS from_method,
-    'JavaMethod[ElementIdentifier:' || method_name || '()]' AS evidence, 6 AS phase, m.seq, 1 AS rule
+    'JavaMethod[ElementIdentifier:' || method_name || '()]' AS evidence, 6 AS phase, m.seq, 0 AS rule
   FROM mapped m JOIN type_note t ON m.app_id = t.app_id AND m.type_key = t.type_key
     AND annotation_name = 'FeignClient' AND param_name = 'name')"""
 REST_DEPENDENCIES = """
@@ -839,7 +839,7 @@ rest_d AS (
     'Endpoint[RequestURI:' || CASE WHEN contains(verb_name, 'HttpMethod.') THEN split_part(verb_name, 'HttpMethod.', 2)
       ELSE 'HTTP_REQUEST' END || ' ' || substr(url, strpos(url, '//') + 2 + length(split_part(split_part(url, '//', 2),
       '/', 1))) || ']' AS destination, root_method AS operation, profile AS environment, false AS overwrites,
-    true AS from_method, 'JavaMethod[ElementIdentifier:exchange()]' AS evidence, 6 AS phase, seq, 2 AS rule
+    true AS from_method, 'JavaMethod[ElementIdentifier:exchange()]' AS evidence, 7 AS phase, seq, 0 AS rule
   FROM f_java_invocation i JOIN call_arg a ON i.app_id = a.app_id AND i.invocation_key = a.invocation_key
   WHERE callee = 'exchange' AND receiver_type = 'RestTemplate' AND receiver_package = 'org.springframework.web.client'
     AND contains(url, '//'))"""

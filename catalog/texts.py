@@ -226,7 +226,7 @@ def module_config_files(f):
     modules = sql(f, MODULE_KEY)
     dirs = modules.select("app_id", F.lit("central/").alias("config_dir")).distinct()
     names = modules.withColumn("app_name", F.col("module"))
-    return config_ops.module_config_files(sql(f, MODULE_FILE), modules, dirs, names).drop("content")
+    return config_ops.module_config_files(sql(f, MODULE_FILE), modules, dirs, names)
 
 
 @query("collect_module_properties")

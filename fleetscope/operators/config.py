@@ -29,33 +29,33 @@ def _config_files(files: DataFrame) -> DataFrame:
 def module_config_files(
     files: DataFrame, modules: DataFrame, config_dirs: DataFrame, app_names: DataFrame | None = None
 ) -> DataFrame:
-    """(file, module, phase) for every configuration file a module reads, in reading order.
+    """(path, module, phase, app_name) for every configuration file a module reads, in reading order.
 
     ``modules`` has (app_id, module), ``config_dirs`` (app_id, config_dir), ``app_names`` (app_id,
     module, app_name). A directory counts if it contains the module's name or the configured text.
+    Paths only: contents are parsed once and joined to this map by path.
     """
-    configs = _config_files(files)
-    named = [
-        configs.where(file_name(F.col("path")).contains(part)).withColumn("phase", F.lit(phase))
-        for phase, part in MODULE_PHASES
-    ]
+    paths = _config_files(files).select("app_id", "path", "directory")
+    directories = paths.select("app_id", "directory").distinct()
+
+    def phases(rows: DataFrame, wanted) -> DataFrame:
+        parts = [rows.where(file_name(F.col("path")).contains(part)).withColumn("phase", F.lit(phase)) for phase, part in wanted]
+        return reduce(DataFrame.unionByName, parts)
+
     no_name = F.lit("").alias("app_name")
-    own = join_contains(reduce(DataFrame.unionByName, named), "directory", modules.select(*MODULE), "module", ["app_id"])
-    own = own.select(*MODULE, "path", "content", "phase", no_name)
-
-    central = join_contains(configs, "directory", config_dirs.select("app_id", "config_dir"), "config_dir", ["app_id"])
-    shared = [
-        central.where(file_name(F.col("path")).contains(part)).withColumn("phase", F.lit(phase))
-        for phase, part in CENTRAL_PHASES
-    ]
-    shared = reduce(DataFrame.unionByName, shared).join(modules.select(*MODULE), "app_id")
-    parts = [own, shared.select(*MODULE, "path", "content", "phase", no_name)]
+    owners = join_contains(directories, "directory", modules.select(*MODULE), "module", ["app_id"])
+    own = phases(paths, MODULE_PHASES).join(owners, ["app_id", "directory"]).select(*MODULE, "path", "phase", no_name)
+
+    wanted = join_contains(directories, "directory", config_dirs.select("app_id", "config_dir"), "config_dir", ["app_id"])
+    # A row for each configured text that the directory contains, as before.
+    central = paths.join(wanted, ["app_id", "directory"])
+    shared = phases(central, CENTRAL_PHASES).join(modules.select(*MODULE), "app_id")
+    parts = [own, shared.select(*MODULE, "path", "phase", no_name)]
     if app_names is not None:
-        by_name = join_contains(
-            central.withColumn("base", file_name(F.col("path"))), "base",
-            app_names.select(*MODULE, "app_name").where(F.col("app_name") != ""), "app_name", ["app_id"],
-        )
-        parts.append(by_name.select(*MODULE, "path", "content", F.lit(NAMED_PHASE).alias("phase"), "app_name"))
+        bases = central.select("app_id", "path").withColumn("base", file_name(F.col("path")))
+        names = app_names.select(*MODULE, "app_name").where(F.col("app_name") != "")
+        by_name = join_contains(bases, "base", names, "app_name", ["app_id"])
+        parts.append(by_name.select(*MODULE, "path", F.lit(NAMED_PHASE).alias("phase"), "app_name"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -74,59 +74,89 @@ def apply_placeholder_defaults(value: Column, compat_defaults: bool = False) ->
     return F.when(rounds > 0, F.aggregate(F.sequence(F.lit(1), rounds), value, once)).otherwise(value)
 
 
-def resolve_placeholders(
-    properties: DataFrame, keys: list[str], max_rounds: int = 16
-) -> tuple[DataFrame, DataFrame]:
-    """``${name}`` -> value of that property: first of the same document, else first of the module.
+def _references(text: Column | str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(1)))
 
-    ``properties`` has ``keys``, doc_order, pos_order, name and value; (keys, doc_order, pos_order) is
-    unique. Returns (properties, rejected); rejected values run in a circle or deeper than
-    ``max_rounds`` and stay as they were. Only values with references take part in the rounds.
-    """
-    document = [*keys, "doc_order"]
-    row = [*document, "pos_order"]
-    has_reference = F.col("value").rlike(_REFERENCE)
-    here = (
-        properties.groupBy(*document, F.col("name").alias("ref"))
-        .agg(F.min_by("value", "pos_order").alias("near"))
+
+def _filled(text: str, found: str) -> Column:
+    """``text`` with every reference of ``found`` (ref, text) replaced; bounded by the references of one value."""
+    return F.aggregate(
+        found, F.col(text), lambda value, one: F.replace(value, F.concat(F.lit("$"), F.lit("{"), one["ref"], F.lit("}")), one["text"])
     )
-    anywhere = (
-        properties.groupBy(*keys, F.col("name").alias("ref"))
-        .agg(F.min_by("value", F.struct("doc_order", "pos_order")).alias("far"))
+
+
+def _named_texts(asking: DataFrame, properties: DataFrame, keys: list[str]) -> DataFrame:
+    """(document, ref, text) for every name that a value of the document reaches through other values."""
+    document = [*keys, "doc_order"]
+    wanted = properties.select(*keys, F.explode(_references("value")).alias("ref")).distinct()
+    named = cut_lineage(properties.withColumnRenamed("name", "ref").join(wanted, [*keys, "ref"], "left_semi"))
+    near = cut_lineage(named.groupBy(*document, "ref").agg(F.min_by("value", "pos_order").alias("near")))
+    far = cut_lineage(named.groupBy(*keys, "ref").agg(F.min_by("value", F.struct("doc_order", "pos_order")).alias("far")))
+    frontier = cut_lineage(asking.select(*document, F.explode(_references("value")).alias("ref")).distinct())
+    asked, found = frontier, None
+    while not frontier.isEmpty():
+        texts = frontier.join(near, [*document, "ref"], "left").join(far, [*keys, "ref"], "left")
+        level = cut_lineage(texts.select(*document, "ref", F.coalesce("near", "far").alias("text")).where("text IS NOT NULL"))
+        found = level if found is None else found.unionByName(level)
+        further = level.select(*document, F.explode(_references("text")).alias("ref")).distinct()
+        frontier = cut_lineage(further.join(asked, [*document, "ref"], "left_anti"))
+        asked = asked.unionByName(frontier)
+    return found if found is not None else frontier.withColumn("text", F.lit(""))
+
+
+def _settled_texts(texts: DataFrame, document: list[str]) -> DataFrame:
+    """The texts whose references all lead to an end, filled in. What is left out runs into a circle."""
+    node = [*document, "ref"]
+    ends = texts.select(*document, F.col("ref").alias("to"))
+    edges = cut_lineage(
+        texts.select(*node, F.explode(_references("text")).alias("to")).join(ends, [*document, "to"], "left_semi")
     )
-    settled = []
-    pending = properties.where(has_reference).select(*row, "value")
-    for _ in range(max_rounds):
-        references = pending.select(
-            *row, F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(_REFERENCE), F.lit(1)))).alias("ref")
-        )
-        found = (
-            references.join(here, [*document, "ref"], "left")
-            .join(anywhere, [*keys, "ref"], "left")
-            .withColumn("text", F.coalesce("near", "far"))
-            .where(F.col("text").isNotNull())
-            # The references of one value: bounded by the value itself.
-            .groupBy(*row)
-            .agg(F.collect_list(F.struct("ref", "text")).alias("found"))
+    done = cut_lineage(texts.join(edges, node, "left_anti"))
+    waiting = cut_lineage(texts.join(edges.groupBy(*node).agg(F.count("*").alias("needs")), node))
+    while not waiting.isEmpty():
+        known = done.select(*document, F.col("ref").alias("to"), F.col("text").alias("filled"))
+        met = (
+            edges.join(known, [*document, "to"])
+            .groupBy(*node)
+            .agg(F.collect_list(F.struct(F.col("to").alias("ref"), F.col("filled").alias("text"))).alias("found"))
         )
-        replaced = F.aggregate(
-            "found",
-            F.col("value"),
-            lambda text, one: F.replace(text, F.concat(F.lit("$"), F.lit("{"), one["ref"], F.lit("}")), one["text"]),
+        ready = cut_lineage(
+            waiting.join(met, node).where(F.size("found") == F.col("needs")).select(*node, _filled("text", "found").alias("text"))
         )
-        level = cut_lineage(
-            pending.join(found, row, "left").select(
-                *row, F.coalesce(replaced, "value").alias("value"), F.col("found").isNotNull().alias("changed")
-            )
-        )
-        open_rows = F.col("changed") & has_reference
-        settled.append(level.where(~open_rows).select(*row, "value"))
-        pending = level.where(open_rows).select(*row, "value")
-        if pending.isEmpty():
+        if ready.isEmpty():
             break
-    resolved = reduce(DataFrame.unionByName, settled).withColumnRenamed("value", "resolved")
-    out = properties.join(resolved, row, "left").withColumn("value", F.coalesce("resolved", "value"))
-    return out.drop("resolved"), properties.join(pending.select(*row), row, "left_semi")
+        done = done.unionByName(ready)
+        waiting = cut_lineage(waiting.join(ready, node, "left_anti"))
+        edges = edges.join(waiting, node, "left_semi")
+    return done
+
+
+def resolve_placeholders(properties: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``${name}`` -> value of that property: first of the same document, else first of the module.
+
+    ``properties`` has ``keys``, doc_order, pos_order, name and value; (keys, doc_order, pos_order) is unique. Returns
+    (properties, rejected). Names are followed as deep as they lead, one round for each level of nesting and only over
+    names that are referred to. Values that lead into a circle are rejected and stay as they were; names that nobody
+    defines stay in the text.
+    """
+    document = [*keys, "doc_order"]
+    row = [*document, "pos_order"]
+    properties = cut_lineage(properties)
+    asking = properties.where(F.col("value").rlike(_REFERENCE)).select(*row, "value")
+    texts = cut_lineage(_named_texts(asking, properties, keys))
+    settled = cut_lineage(_settled_texts(texts, document))
+    references = asking.select(*row, F.explode(_references("value")).alias("ref"))
+    answers = (
+        references.join(texts.select(*document, "ref", F.lit(True).alias("known")), [*document, "ref"])
+        .join(settled, [*document, "ref"], "left")
+        .groupBy(*row)
+        # The references of one value: bounded by the value itself.
+        .agg(F.bool_or(F.col("text").isNull()).alias("circular"), F.collect_list(F.struct("ref", "text")).alias("found"))
+    )
+    answers = cut_lineage(answers)
+    out = properties.join(answers.where(~F.col("circular")), row, "left")
+    out = out.withColumn("value", F.when(F.col("found").isNotNull(), _filled("value", "found")).otherwise(F.col("value")))
+    return out.select(*properties.columns), properties.join(answers.where("circular").select(*row), row, "left_semi")
 
 
 def resolve_localhost(properties: DataFrame, container_ports: DataFrame, keys: list[str]) -> DataFrame:
@@ -135,20 +165,17 @@ def resolve_localhost(properties: DataFrame, container_ports: DataFrame, keys: l
     ``container_ports`` has app_id, container, port and ord; ``keys`` identify a property.
     """
     port = F.regexp_extract("value", r"localhost:(\d+)", 1)
-    ported = properties.withColumn("wanted_port", port)
-    wanted = ported.where(F.col("wanted_port") != "").select("app_id", "wanted_port").distinct()
+    with_port = F.col("value").rlike(r"localhost:\d")
+    ported = properties.where(with_port).withColumn("wanted_port", port)
+    wanted = ported.select("app_id", "wanted_port").distinct()
     hosts = (
         join_contains(container_ports, "port", wanted, "wanted_port", ["app_id"])
         .groupBy("app_id", "wanted_port")
         .agg(F.max_by("container", "ord").alias("host"))
     )
     replaced = F.regexp_replace(F.col("value"), F.lit(r"localhost:\d+"), F.col("host"))
-    return (
-        ported.join(hosts, ["app_id", "wanted_port"], "left")
-        .withColumn("value", F.coalesce(replaced, "value"))
-        .drop("wanted_port", "host")
-        .select(*properties.columns)
-    )
+    changed = ported.join(hosts, ["app_id", "wanted_port"], "left").withColumn("value", F.coalesce(replaced, "value"))
+    return changed.select(*properties.columns).unionByName(properties.where(~F.coalesce(with_port, F.lit(False))))
 
 
 def host_by_server_port(ports: DataFrame, properties: DataFrame) -> DataFrame:
@@ -167,15 +194,19 @@ def host_by_server_port(ports: DataFrame, properties: DataFrame) -> DataFrame:
 def collect_module_properties(
     files: DataFrame, modules: DataFrame, config_dirs: DataFrame, container_ports: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """All steps from files to the property table; (properties, rejected placeholders)."""
-    first = module_config_files(files, modules, config_dirs)
-    named = config.application_name(
-        config.file_properties(config.config_lines(first.where(F.col("phase") <= 1))), MODULE
-    )
+    """All steps from files to the property table; (properties, rejected placeholders).
+
+    Every file is parsed once; its properties, not its content, meet the modules that read it.
+    """
+    parsed = cut_lineage(config.file_rows(config.config_lines(_config_files(files).select("app_id", "path", "content"))))
+
+    def read(found: DataFrame) -> DataFrame:
+        return config.with_start_profile(parsed.join(found, ["app_id", "path"]))
+
+    first = module_config_files(files, modules, config_dirs).where(F.col("phase") <= 1)
+    named = config.application_name(read(first), MODULE)
     every = module_config_files(files, modules, config_dirs, named)
-    rows = config.file_properties(config.config_lines(every)).withColumn(
-        "value", apply_placeholder_defaults(F.col("value"))
-    )
+    rows = read(every).withColumn("value", apply_placeholder_defaults(F.col("value")))
     ordered = rows.withColumn("doc_order", F.struct("phase", "path", "doc")).withColumn("pos_order", F.col("pos"))
     resolved, rejected = resolve_placeholders(ordered, MODULE)
     hosted = resolve_localhost(resolved, container_ports, [*MODULE, "doc_order", "pos_order"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetscope import rules
 from fleetscope.functions import after, before, contains_lit, order_key
 from fleetscope.functions.matching import join_contains
-from fleetscope.functions.ordering import ASYNC, CONTAINER, METHOD, PROPERTY
+from fleetscope.functions.ordering import ASYNC, CONTAINER, METHOD, PROPERTY, REST_TEMPLATE
 from fleetscope.functions.text import quoted
 from fleetscope.operators import evidence
 from fleetscope.operators.components import Merged
@@ -141,7 +141,7 @@ def from_feign(methods: DataFrame, annotations: DataFrame, params: DataFrame) ->
         .withColumn("provider", quoted(F.col("param_value")))
         .where(F.col("provider") != "")
         .withColumn("evidence", evidence.method_evidence(F.col("method_name")))
-        .withColumn("ord", order_key(METHOD, F.col("seq"), 1)),
+        .withColumn("ord", order_key(METHOD, F.col("seq"))),
         F.col("provider"),
         F.concat(F.lit("Endpoint[RequestURI:"), F.upper("verb"), F.lit(" "), "path", F.lit("]")),
         operation=F.concat("method_name", F.lit("()")),
@@ -182,7 +182,7 @@ def from_rest_template(invocations: DataFrame, args: DataFrame) -> DataFrame:
         )
         .withColumn("service", F.col("project"))
         .withColumn("evidence", evidence.method_evidence(F.col("callee")))
-        .withColumn("ord", order_key(METHOD, F.col("seq"), 2))
+        .withColumn("ord", order_key(REST_TEMPLATE, F.col("seq")))
         .where(F.col("provider") != "")
     )
     return _contribution(

@@ -11,27 +11,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.functions.matching import join_contains
+from fleetscope.functions.ordering import position
 from fleetscope.functions.runtime import cut_lineage
 from fleetscope.operators import build, config, deploy
 from fleetscope.schema import Facts
 from fleetscope.sources import java
 from fleetscope.sources.compose import read_compose, read_dockerfiles
-from fleetscope.sources.files import directory, discover_modules, scan_artifacts
+from fleetscope.sources.files import CONFIG_NAMES, compose_candidates, directory, discover_modules, scan_artifacts, validate_app_inputs
 from fleetscope.sources.pom import pom_dependencies, read_pom
 
 
-_POSITION_BITS = 24
+def file_numbers(files: DataFrame) -> DataFrame:
+    """(app_id, path, file_no): the files of an application in the order of their paths."""
+    in_order = Window.partitionBy("app_id").orderBy("path")
+    return files.select("app_id", "path").distinct().withColumn("file_no", F.row_number().over(in_order))
 
 
-def _file_seq(path: str, position: Column) -> Column:
-    """Position of a fact: files in a stable order, then the place in the file. Stays below 2^53."""
-    return F.pmod(F.xxhash64(path), F.lit(1 << (53 - _POSITION_BITS))) * (1 << _POSITION_BITS) + position
+def owned_files(files: DataFrame, modules: DataFrame) -> DataFrame:
+    """``files`` with the ``project`` whose name their directory contains, once for each such module.
 
+    Directories, not contents, are compared with the names; contents move once, to their modules.
+    """
+    placed = files.select("app_id", "path", directory(F.col("path")).alias("directory"))
+    directories = placed.select("app_id", "directory").distinct()
+    named = join_contains(directories, "directory", modules, "module", ["app_id"]).withColumnRenamed("module", "project")
+    owners = cut_lineage(placed.join(named, ["app_id", "directory"]).select("app_id", "path", "project"))
+    return files.join(owners, ["app_id", "path"])
+
+
+# Bits of a position: files of an application, and segments, members or lines of a file, and what is inside those.
+_FILE, _PART, _INNER = 21, 20, 12
+
+
+def java_facts(files: DataFrame, modules: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Java fact tables, and the files without a recognised type; ``modules`` has (app_id, module)."""
+    sources = files.where(F.col("path").endswith(".java"))
+    numbers = cut_lineage(file_numbers(sources))
+    owned = owned_files(sources, modules)
+
+    def seq(part: Column | str, inner: Column | str | None = None) -> Column:
+        columns = [F.col(one) if isinstance(one, str) else one for one in (part, inner) if one is not None]
+        widths = (_PART, _INNER) if len(columns) == 2 else (_PART + _INNER,)
+        return position((F.col("file_no"), _FILE), *zip(columns, widths, strict=True)).alias("seq")
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        return rows.join(numbers, ["app_id", "path"])
 
-def java_facts(files: DataFrame, modules: DataFrame) -> dict[str, DataFrame]:
-    """Java fact tables; ``modules`` has (app_id, module)."""
-    placed = files.where(F.col("path").endswith(".java")).withColumn("directory", directory(F.col("path")))
-    owned = join_contains(placed, "directory", modules, "module", ["app_id"]).withColumnRenamed("module", "project")
     segments = cut_lineage(java.source_segments(owned))
     types = cut_lineage(java.java_types(segments))
     members = java.java_members(segments, types)
@@ -45,42 +70,52 @@ def java_facts(files: DataFrame, modules: DataFrame) -> dict[str, DataFrame]:
     type_key = F.concat_ws("#", "project", "path", "type_no")
     method_key = F.concat(type_key, F.lit("#"), F.col("member_no").cast("string"))
     head = ["app_id", "project", artifact]
-    type_rows = types.select(
-        *head, _file_seq("path", F.col("type_no")).alias("seq"), type_key.alias("type_key"), "type_id", "package", "kind", profile,
+    type_rows = numbered(types).select(
+        *head, seq("type_no"), type_key.alias("type_key"), "type_id", "package", "kind", profile,
         F.lit("").alias("json_schema"),
     )
-    supertypes = java.java_supertypes(types).select(
-        *head, _file_seq("path", F.col("type_no") * 256 + F.col("at")).alias("seq"), type_key.alias("type_key"), "relation", "target_id",
+    supertypes = numbered(java.java_supertypes(types)).select(
+        *head, seq("type_no", "at"), type_key.alias("type_key"), "relation", "target_id",
         "target_package", profile,
     )
     imports = (
-        java.java_imports(owned)
+        numbered(java.java_imports(owned))
         .join(types.select(*java.KEYS, "type_no"), java.KEYS)
         .select(
-            *head, _file_seq("path", F.col("type_no") * 4096 + F.col("no")).alias("seq"), type_key.alias("type_key"),
+            *head, seq("type_no", "no"), type_key.alias("type_key"),
             F.lit("imports").alias("relation"), "target_id", "target_package", profile,
         )
     )
     notes = reduce(
         lambda one, other: one.unionByName(other),
         (
-            java.type_annotations(types).select("*", F.lit("type").alias("owner_kind"), type_key.alias("owner_key")).drop("type_no", "type_id"),
+            java.type_annotations(types)
+            .select("*", F.lit("type").alias("owner_kind"), type_key.alias("owner_key"), F.lit(0).alias("member"), F.lit(0).alias("argument"))
+            .drop("type_id"),
             java.method_annotations(methods)
-            .select("*", F.lit("method").alias("owner_kind"), method_key.alias("owner_key"))
-            .drop("type_no", "type_id", "member_no", "method_name"),
+            .select(
+                "*", F.lit("method").alias("owner_kind"), method_key.alias("owner_key"), F.col("member_no").alias("member"), F.lit(0).alias("argument")
+            )
+            .drop("type_id", "member_no", "method_name"),
             java.param_annotations(params)
-            .select("*", F.lit("parameter").alias("owner_kind"), F.concat_ws("#", method_key, "param_order").alias("owner_key"))
-            .drop("type_no", "type_id", "member_no", "method_name", "param_order"),
+            .select(
+                "*", F.lit("parameter").alias("owner_kind"), F.concat_ws("#", method_key, "param_order").alias("owner_key"),
+                F.col("member_no").alias("member"), F.col("param_order").alias("argument"),
+            )
+            .drop("type_id", "member_no", "method_name", "param_order"),
         ),
-    ).withColumn("annotation_key", F.concat_ws("@", "owner_kind", "owner_key", "at"))
-    annotations = notes.select(
-        *head, F.col("at").cast("long").alias("seq"), "owner_kind", "owner_key", "annotation_key", "annotation_name", profile
-    )
+    ).withColumn("annotation_key", F.concat_ws("@", "owner_kind", "owner_key", "at"))
+    # Annotations are numbered through the whole file: by member (types have none), argument, and place in front of it.
+    annotations = numbered(notes).select(
+        *head, seq(F.col("type_no") + F.col("member"), F.col("argument") * 32 + F.col("at")), "owner_kind", "owner_key", "annotation_key",
+        "annotation_name", profile,
+    )
+    notes = notes.drop("type_no", "member", "argument")
     annotation_params = java.annotation_params(notes).select(
         "app_id", F.col("param_no").cast("long").alias("seq"), "annotation_key", "param_name", "param_value"
     )
-    method_rows = methods.select(
-        *head, _file_seq("path", F.col("member_no")).alias("seq"), type_key.alias("type_key"), method_key.alias("method_key"),
+    method_rows = numbered(methods).select(
+        *head, seq("member_no", F.lit(0)), type_key.alias("type_key"), method_key.alias("method_key"),
         "method_name", "return_type", "return_package",
         F.when(F.col("return_type").isNotNull(), "").alias("return_schema"), profile,
     )
@@ -91,8 +126,8 @@ def java_facts(files: DataFrame, modules: DataFrame) -> dict[str, DataFrame]:
     )
     call_key = F.concat_ws("#", method_key, "no", "at")
     resolved = java.resolve_receivers(calls, params, local_rows, fields)
-    invocations = resolved.select(
-        *head, _file_seq("path", F.col("no") * 64 + F.col("at")).alias("seq"), method_key.alias("method_key"),
+    invocations = numbered(resolved).select(
+        *head, seq("no", "at"), method_key.alias("method_key"),
         call_key.alias("invocation_key"), "root_method", "callee", "receiver_type", "receiver_package", profile,
     )
     args = java.invocation_args(calls, local_rows, fields).select(
@@ -102,14 +137,26 @@ def java_facts(files: DataFrame, modules: DataFrame) -> dict[str, DataFrame]:
         "java_type": type_rows, "java_supertype": supertypes.unionByName(imports), "java_annotation": annotations,
         "annotation_param": annotation_params, "java_method": method_rows, "method_param": param_rows,
         "java_invocation": invocations, "invocation_arg": args,
-    }
-
-
-def extract(files: DataFrame, apps: DataFrame, config_dirs: DataFrame) -> tuple[Facts, dict[str, DataFrame]]:
-    """(facts, rejected rows). ``apps`` has app_id, app_name, package_url; ``config_dirs`` app_id, config_dir."""
+    }, java.rejects(owned, types)
+
+
+def extract(
+    files: DataFrame,
+    apps: DataFrame,
+    config_dirs: DataFrame,
+    compose_files: DataFrame | None = None,
+    module_dirs: DataFrame | None = None,
+) -> tuple[Facts, dict[str, DataFrame]]:
+    """(facts, rejected rows by kind). ``apps`` has app_id, app_name, package_url; ``config_dirs`` app_id, config_dir.
+
+    ``compose_files`` (app_id, path) are the chosen compose files, by default all with a usual name;
+    ``module_dirs`` (app_id, directory) the chosen module directories, by default those below the root
+    that are named like a container.
+    """
     spark = files.sparkSession
     named = apps.select("app_id", F.col("app_name").alias("project"))
-    compose = cut_lineage(read_compose(scan_artifacts(files, "docker-compose")))
+    chosen = compose_candidates(files) if compose_files is None else files.join(compose_files, ["app_id", "path"], "left_semi")
+    compose = cut_lineage(read_compose(chosen))
     merged, file_ports = deploy.dockerfile_overlay(deploy.merge_containers(compose), read_dockerfiles(files))
     merged = cut_lineage(merged)
     containers = merged.join(named, "app_id").select(
@@ -124,7 +171,7 @@ def extract(files: DataFrame, apps: DataFrame, config_dirs: DataFrame) -> tuple[
     every_port = listed_ports.unionByName(exposed)
     owner = merged.select("app_id", "container", "artifact").join(named, "app_id")
     ports = every_port.join(owner, ["app_id", "container"]).select(
-        "app_id", (F.col("ord.later") * (1 << 40) + F.col("ord.pos") * 1024 + F.col("ord.at")).cast("long").alias("seq"),
+        "app_id", position((F.col("ord.later"), 1), (F.col("ord.pos"), 32), (F.col("ord.at"), 20)).alias("seq"),
         "project", "artifact", "container", "port",
     )
     links = deploy.container_links(compose).join(owner, ["app_id", "container"]).select(
@@ -132,7 +179,7 @@ def extract(files: DataFrame, apps: DataFrame, config_dirs: DataFrame) -> tuple[
     )
 
     poms = cut_lineage(read_pom(scan_artifacts(files, "pom.xml")))
-    found = discover_modules(containers, files)
+    found = discover_modules(containers, files) if module_dirs is None else module_dirs
     modules = cut_lineage(
         build.module_names(found.select("app_id", "directory"), poms).withColumnRenamed("build_file", "artifact")
     )
@@ -152,12 +199,14 @@ def extract(files: DataFrame, apps: DataFrame, config_dirs: DataFrame) -> tuple[
         "app_id", "container", "port", F.struct("first", "ord").alias("ord")
     )
     rows, circular = config.collect_module_properties(files, keys, config_dirs, host_ports)
-    properties = rows.select(
-        "app_id", (F.col("phase").cast("long") * (1 << 50) + F.pmod(F.xxhash64("path"), F.lit(1 << 28)) * (1 << 22) + F.col("pos")).alias("seq"),
+    config_numbers = file_numbers(files.where(F.col("path").rlike(CONFIG_NAMES)))
+    properties = rows.join(config_numbers, ["app_id", "path"]).select(
+        "app_id", position((F.col("phase"), 2), (F.col("file_no"), _FILE), (F.col("pos"), 30)).alias("seq"),
         F.col("module").alias("project"), F.col("path").alias("artifact"), "name", "value", "profile",
     )
     project = build.app_projects(apps, poms.where(F.col("path") == "pom.xml")).withColumn("seq", F.lit(0).cast("long"))
     kinds = build.classify_modules(modules.select("app_id", "artifact", "artifact_id"), libraries)
+    java_tables, unread = java_facts(files, keys)
     facts = Facts.of(
         spark,
         {
@@ -166,12 +215,24 @@ def extract(files: DataFrame, apps: DataFrame, config_dirs: DataFrame) -> tuple[
             "container": containers,
             "container_port": ports,
             "container_link": links,
-            "module": kinds.join(named, "app_id").withColumn("seq", F.pmod(F.xxhash64("artifact_id"), F.lit(1 << 53))),
+            "module": kinds.join(named, "app_id").withColumn("seq", F.row_number().over(Window.partitionBy("app_id").orderBy("artifact_id", "artifact")).cast("long")),
             "library": libraries,
             "property": properties,
-            **java_facts(files, keys),
+            **java_tables,
         },
         app_type=dict(files.dtypes)["app_id"],
     )
-    return facts, {"build_files": deep, "placeholders": circular}
+    inputs = (
+        apps.select("app_id", F.col("app_name").alias("name"), F.lit(".").alias("root"), F.lit(".").alias("output"))
+        .join(chosen.groupBy("app_id").agg(F.count("*").alias("compose_files")), "app_id", "left")
+        .join(found.groupBy("app_id").agg(F.count("*").alias("module_dirs")), "app_id", "left")
+    )
+    return facts, {
+        "applications": validate_app_inputs(inputs).where(F.size("reasons") > 0).select("app_id", "reasons"),
+        "build_files": deep,
+        "compose_files": chosen.select("app_id", "path").join(compose.select("app_id", "path"), ["app_id", "path"], "left_anti"),
+        "java_files": unread,
+        "placeholders": circular,
+        "poms": poms.where("artifact_id IS NULL").select("app_id", "path"),
+    }
 

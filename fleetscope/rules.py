@@ -342,9 +342,18 @@ def property_component_rows():
     return _numbered(PROPERTY_COMPONENTS)
 
 
+def _numbers(groups):
+    """Number of the first endpoint of every group; endpoints are numbered through the whole table."""
+    first, numbers = 0, []
+    for *_, endpoints in groups:
+        numbers.append(first)
+        first += len(endpoints)
+    return numbers
+
+
 def library_endpoint_rows():
     return [
-        ((group % 8) * 8 + at, name, needs, verb, path)
+        (_numbers(LIBRARY_ENDPOINTS)[group] + at, name, needs, verb, path)
         for group, (names, needs, endpoints) in enumerate(LIBRARY_ENDPOINTS)
         for name in names
         for at, (verb, path) in enumerate(endpoints)
@@ -353,7 +362,7 @@ def library_endpoint_rows():
 
 def property_endpoint_rows():
     return [
-        ((group % 8) * 8 + at, match, text, value, needs, verb, path)
+        (_numbers(PROPERTY_ENDPOINTS)[group] + at, match, text, value, needs, verb, path)
         for group, (match, text, value, needs, endpoints) in enumerate(PROPERTY_ENDPOINTS)
         for at, (verb, path) in enumerate(endpoints)
     ]
@@ -361,7 +370,7 @@ def property_endpoint_rows():
 
 def annotation_endpoint_rows():
     return [
-        ((group % 8) * 8 + at, name, needs, verb, path)
+        (_numbers(ANNOTATION_ENDPOINTS)[group] + at, name, needs, verb, path)
         for group, (name, needs, endpoints) in enumerate(ANNOTATION_ENDPOINTS)
         for at, (verb, path) in enumerate(endpoints)
     ]

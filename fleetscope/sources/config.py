@@ -132,14 +132,13 @@ def start_profile(path: Column, app_name: Column) -> Column:
     return F.when(behind != "", F.upper(F.regexp_replace(behind, "^-+", ""))).otherwise(START_PROFILE)
 
 
-def file_properties(configs: DataFrame) -> DataFrame:
+def file_rows(configs: DataFrame) -> DataFrame:
     """Rows with ``lines`` -> one row per property: doc, pos, name, value, profile.
 
     The profile is sticky: from a profile property on it holds to the end of the file, across
-    documents. An optional ``app_name`` column gives the start profile of centrally kept files.
+    documents. Before the first one it is missing, as the start profile depends on who reads the file.
     """
-    app_name = F.col("app_name") if "app_name" in configs.columns else F.lit(None).cast("string")
-    keys = [column for column in configs.columns if column not in ("content", "lines", "app_name")]
+    keys = [column for column in configs.columns if column not in ("content", "lines")]
 
     def parsed(pair: Column) -> Column:
         name, value = split_key_value(pair["line"])
@@ -151,18 +150,28 @@ def file_properties(configs: DataFrame) -> DataFrame:
         )
 
     def with_profiles(rows: Column) -> Column:
-        profiles = running_states(rows, F.col("start"), next_profile)
+        profiles = running_states(rows, F.lit(None).cast("string"), next_profile)
         return F.zip_with(
             rows, profiles, lambda row, profile: F.struct(row.alias("row"), profile.alias("profile"))
         )
 
-    documents = configs.select(
-        *keys, start_profile(F.col("path"), app_name).alias("start"), split_documents(F.col("lines")).alias("pairs")
-    )
+    documents = configs.select(*keys, split_documents(F.col("lines")).alias("pairs"))
     rows = documents.select(*keys, F.posexplode(let(F.transform("pairs", parsed), with_profiles)).alias("pos", "item"))
     return rows.select(*keys, "pos", "item.row.doc", "item.row.name", "item.row.value", "item.profile")
 
 
+def with_start_profile(rows: DataFrame) -> DataFrame:
+    """Fill the missing profiles; an optional ``app_name`` column counts for centrally kept files."""
+    app_name = F.col("app_name") if "app_name" in rows.columns else F.lit(None).cast("string")
+    filled = F.coalesce("profile", start_profile(F.col("path"), app_name))
+    return rows.withColumn("profile", filled).drop("app_name")
+
+
+def file_properties(configs: DataFrame) -> DataFrame:
+    """``file_rows`` with the start profile of every file."""
+    return with_start_profile(file_rows(configs))
+
+
 def application_name(properties: DataFrame, keys: list[str]) -> DataFrame:
     """First value per document, last document wins, in (phase, path, doc, pos) order."""
     order = F.struct("phase", "path", "doc", (-F.col("pos")).alias("pos"))

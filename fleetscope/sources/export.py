@@ -16,19 +16,29 @@ from fleetscope import rules
 from fleetscope.schema import FACT_SCHEMAS, Facts
 
 APP_FILES = "app_id"
+BUCKET = "bucket"
 # Sorts behind every other place below the same owner.
 _LAST = "~"
 
 
-def write_tables(tables: dict[str, DataFrame], folder: str, by_app: bool = True, mode: str = "overwrite") -> None:
-    """One Parquet folder per table; ``by_app`` gives a partition per application."""
+def write_tables(
+    tables: dict[str, DataFrame], folder: str, by_app: bool = False, buckets: int = 64, mode: str = "overwrite"
+) -> None:
+    """One Parquet folder per table, with a partition per bucket of applications.
+
+    Buckets keep the number of folders fixed however many applications there are; ``by_app`` gives a
+    folder per application instead, for few big ones.
+    """
     for name, df in tables.items():
-        writer = df.write.mode(mode)
-        (writer.partitionBy(APP_FILES) if by_app else writer).parquet(f"{folder}/{name}")
+        if by_app:
+            df.write.mode(mode).partitionBy(APP_FILES).parquet(f"{folder}/{name}")
+        else:
+            bucket = F.pmod(F.xxhash64(APP_FILES), F.lit(buckets)).cast("int")
+            df.withColumn(BUCKET, bucket).write.mode(mode).partitionBy(BUCKET).parquet(f"{folder}/{name}")
 
 
-def write_facts(facts: Facts, folder: str, by_app: bool = True) -> None:
-    write_tables(facts.tables(), folder, by_app)
+def write_facts(facts: Facts, folder: str, by_app: bool = False, buckets: int = 64) -> None:
+    write_tables(facts.tables(), folder, by_app, buckets)
 
 
 def read_facts(spark: SparkSession, folder: str, app_type: str = "string") -> Facts:

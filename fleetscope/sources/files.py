@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TEST_MARK = "/src/test/"
 
 
+_STORE = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
+
+
+def _qualified(spark: SparkSession, root: str) -> str:
+    """``root`` as the file system names it, without scheme and host."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return re.sub(_STORE, "", store.makeQualified(path).toString()).rstrip("/")
+
+
 def read_artifacts(spark: SparkSession, root: str, name_glob: str = "*") -> DataFrame:
-    """Every text file below ``root``; the first directory below it is the application."""
+    """Every text file below ``root``: (app_id, path, content).
+
+    The first directory below ``root`` is the application, and ``path`` is relative to it; files
+    directly in ``root`` belong to no application and are left out.
+    """
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name_glob)
-    path = F.regexp_replace(F.col("_metadata.file_path"), r"\\", "/")
-    below = F.substring_index(path, root.rstrip("/") + "/", -1)
-    return files.select(
-        F.substring_index(below, "/", 1).alias("app_id"), path.alias("path"), F.col("value").alias("content")
-    )
+    # File paths are percent-encoded; a plus sign stands for itself.
+    path = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    below = F.substring(F.regexp_replace(path, _STORE, ""), len(_qualified(spark, root)) + 2, 1 << 30)
+    app = F.substring_index(below, "/", 1)
+    inside = files.select(app.alias("app_id"), below.alias("below"), F.col("value").alias("content")).where(F.instr("below", "/") > 0)
+    relative = F.substring("below", F.length("app_id") + 2, F.length("below"))
+    return inside.select("app_id", relative.alias("path"), "content")
 
 
 def file_name(path: Column) -> Column:
@@ -34,6 +52,16 @@ def scan_artifacts(files: DataFrame, name_part: str, path_part: str = "") -> Dat
     )
 
 
+# Usual names: docker-compose.yml, docker-compose.prod.yaml, compose.yml, compose-dev.yaml and the like.
+_COMPOSE_NAMES = r"(?i)(?:^|/)(?:[^/]*docker-compose[^/]*|compose(?:[.-][^/]*)?\.ya?ml)$"
+CONFIG_NAMES = r"\.(?:yml|yaml|properties)$"
+
+
+def compose_candidates(files: DataFrame) -> DataFrame:
+    """Files named like compose files."""
+    return files.where(F.col("path").rlike(_COMPOSE_NAMES))
+
+
 def exclude_test_sources(files: DataFrame) -> DataFrame:
     return files.where(~F.col("path").contains(TEST_MARK))
 
@@ -59,10 +87,6 @@ def discover_modules(containers: DataFrame, files: DataFrame) -> DataFrame:
     return directories.join(names, ["app_id", "directory"], "left_semi")
 
 
-def app_build_files(files: DataFrame) -> DataFrame:
-    return files.where(F.col("path") == "pom.xml").select("app_id", F.col("path").alias("build_file"))
-
-
 def validate_app_inputs(apps: DataFrame) -> DataFrame:
     """Adds ``reasons`` (empty when accepted).
 
@@ -86,11 +110,3 @@ def validate_app_inputs(apps: DataFrame) -> DataFrame:
 
 def _blank(column: str) -> Column:
     return F.trim(F.coalesce(F.col(column), F.lit(""))) == ""
-
-
-def accepted(validated: DataFrame) -> DataFrame:
-    return validated.where(F.size("reasons") == 0).drop("reasons")
-
-
-def rejected(validated: DataFrame) -> DataFrame:
-    return validated.where(F.size("reasons") > 0)

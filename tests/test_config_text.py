@@ -1,5 +1,3 @@
-import re
-
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -7,31 +5,25 @@ from pyspark.sql import functions as F
 from fleetscope.sources import config
 
 
-def yaml_by_hand(text):
-    """Line by line, as a check of the fold."""
-    out, path = [], []
-    for line in text.split("\n"):
-        bare = line.strip()
-        if not bare:
-            continue
-        if bare == "---":
-            out.append(bare)
-            continue
-        head, colon, tail = bare.partition(":")
-        if "#" in head:
-            continue
-        value = ""
-        if colon:
-            indent = len(line) - len(line.lstrip())
-            level = indent // 2 + head.strip().startswith("-")
-            path = path[:level] + [head.strip()]
-            if tail:
-                value = tail.partition("#")[0]
-        else:
-            value = head.lstrip("-")
-        if value and path:
-            out.append(re.sub(r"-\s", "", ".".join(path).lstrip(".")) + "=" + value.strip())
-    return out
+YAML_CASES = [
+    ("a: 1", ["a=1"]),
+    ("a:\n  b: 1", ["a.b=1"]),
+    ("a:\n  b:\n    c: 1\nd: 2", ["a.b.c=1", "d=2"]),  # back to the outer level
+    ("a:\n\n  b: 1\n", ["a.b=1"]),  # blank lines count for nothing
+    ("url: http://x:80/y", ["url=http://x:80/y"]),  # only the first colon splits
+    ("e:f", ["e=f"]),  # no blank is needed behind it
+    ("d: v # c", ["d=v"]),  # a comment behind a value
+    ("key: # c", ["key="]),  # nothing but a comment
+    ("# note: 1", []),  # a comment line
+    ("a:\n  - x\n  - y", ["a=x", "a=y"]),  # items belong to the name above
+    ("a:\n  - y: 2", ["a.y=2"]),  # an item with a name of its own
+    ("- c: x:y", ["c=x:y"]),
+    ("lonely", []),  # a value without a name
+    ("---", ["---"]),
+    ("a: 1\n---\nb: 2", ["a=1", "---", "b=2"]),
+    ("a:\n  b:", []),  # names without value
+    ("spring:\n  profiles: p,q # c\nz: # only", ["spring.profiles=p,q", "z="]),
+]
 
 
 LINE = st.tuples(
@@ -40,20 +32,38 @@ LINE = st.tuples(
 ).map("".join)
 
 
-def test_yaml(spark):
-    sample = "a:\n  b: 1\n  c:\n    - x\n    - y: 2\n---\n\nspring:\n  profiles: p,q # c\nz: # only\n"
-    texts = [sample, sample * 60]
+def flattened(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "no int, content string")
+    got = df.select("no", config.flatten_yaml(F.col("content")).alias("lines")).collect()
+    return [row.lines for row in sorted(got)]
+
+
+def test_yaml_cases(spark):
+    got = flattened(spark, [text for text, _ in YAML_CASES])
+    for (text, want), lines in zip(YAML_CASES, got, strict=True):
+        assert lines == want, text
+
+
+def test_yaml_of_any_lines(spark):
+    texts = []
 
     @settings(max_examples=120, deadline=None, suppress_health_check=list(HealthCheck), database=None)
     @given(st.lists(LINE, max_size=150))
     def gather(lines):
-        texts.append("\n".join(lines))
+        texts.append(lines)
 
     gather()
-    df = spark.createDataFrame([(text,) for text in texts], "content string")
-    got = df.select("content", config.flatten_yaml(F.col("content")).alias("lines")).collect()
-    for row in got:
-        assert row.lines == yaml_by_hand(row.content)
+    whole = flattened(spark, ["\n".join(lines) for lines in texts])
+    spread = flattened(spark, ["\n\n".join(lines) for lines in texts])
+    longer = flattened(spark, ["\n".join([*lines, *lines, "end: 1"]) for lines in texts])
+    for lines, got, blank, more in zip(texts, whole, spread, longer, strict=True):
+        assert got == blank  # blank lines change nothing
+        assert len(got) <= sum(bool(line.strip()) for line in lines)
+        assert got.count("---") == sum(line.strip() == "---" for line in lines)
+        assert all("=" in line for line in got if line != "---")
+        # A name has as many parts as its line is indented, itself and an item mark counted.
+        assert all(line.partition("=")[0].count(".") <= 4 for line in got)
+        assert more[: len(got)] == got and more[-1] == "end=1"  # later lines change nothing before them
 
 
 def test_properties_and_profiles(spark):

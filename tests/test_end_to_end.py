@@ -2,10 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetscope.functions.runtime import cut_lineage
-from fleetscope.operators import build
+from fleetscope.functions.ordering import METHOD, REST_TEMPLATE, order_key
+from fleetscope.operators import build, config, dependencies
 from fleetscope.plans.derive import derive
 from fleetscope.plans.extract import extract
 from fleetscope.sources import export
+from fleetscope.sources.files import read_artifacts
 from fleetscope.sources.model_file import read_model_files
 
 COMPOSE = """version: '2'
@@ -89,6 +91,63 @@ def recovered(spark):
     return facts, {name: cut_lineage(df) for name, df in derive(facts, cut_lineage).items()}
 
 
+def test_folder_of_files_gives_the_same_facts(recovered, spark, tmp_path):
+    facts, _ = recovered
+    for path, content in FILES.items():
+        file = tmp_path / "all apps+1%" / "shop" / path
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(content)
+    (tmp_path / "all apps+1%" / "note.txt").write_text("of no application")
+    files = cut_lineage(read_artifacts(spark, str(tmp_path / "all apps+1%")))
+    assert rows(files, "app_id", "path") == {("shop", path) for path in FILES}
+    apps = spark.createDataFrame([("shop", "Shop", "/src"), ("none", "a<b", "/src")], "app_id string, app_name string, package_url string")
+    dirs = spark.createDataFrame([("shop", "config")], "app_id string, config_dir string")
+    again, rejected = extract(files, apps, dirs)
+    for name in ("container", "container_port", "container_link", "module", "library", "property", "java_method", "java_invocation"):
+        assert rows(getattr(again, name), *getattr(facts, name).columns) == rows(getattr(facts, name), *getattr(facts, name).columns), name
+    assert [row.app_id for row in rejected["applications"].collect()] == ["none"]
+    assert all(rejected[name].count() == 0 for name in ("build_files", "compose_files", "java_files", "placeholders", "poms"))
+
+
+def test_chosen_files_and_directories(spark):
+    files = spark.createDataFrame(
+        [("a", "stack.txt.yml", COMPOSE), ("a", "deep/users/pom.xml", POM.format("users", "", "")), ("a", "compose.yaml", "x"), ("a", "pom.xml", "<no")],
+        "app_id string, path string, content string",
+    )
+    apps = spark.createDataFrame([("a", "A", "/src")], "app_id string, app_name string, package_url string")
+    dirs = spark.createDataFrame([], "app_id string, config_dir string")
+    chosen = spark.createDataFrame([("a", "stack.txt.yml")], "app_id string, path string")
+    modules = spark.createDataFrame([("a", "deep/users")], "app_id string, directory string")
+    facts, rejected = extract(files, apps, dirs, chosen, modules)
+    assert rows(facts.container, "name") == {("gateway",), ("users",), ("db",)}
+    assert rows(facts.module, "artifact_id") == {("users",)}
+    assert rows(rejected["poms"], "path") == {("pom.xml",)}
+    assert rows(extract(files, apps, dirs)[1]["compose_files"], "path") == {("compose.yaml",)}
+
+
+def test_deep_placeholders_and_circles(spark):
+    chain = [("m", 0, at, f"k{at}", f"${{k{at + 1}}}-" if at < 20 else "end") for at in range(21)]
+    others = [
+        ("m", 0, 50, "x", "${x2}"), ("m", 0, 51, "x2", "a${x}"), ("m", 1, 52, "y", "${x}${k20}"), ("m", 1, 53, "k20", "near"),
+        ("m", 1, 54, "z", "${k19}/${gone}"), ("n", 0, 55, "w", "${k0}"),
+    ]
+    table = spark.createDataFrame(chain + others, "module string, doc_order int, pos_order int, name string, value string")
+    resolved, rejected = config.resolve_placeholders(table, ["module"])
+    got = {row.pos_order: row.value for row in resolved.collect()}
+    assert got[0] == "end" + "-" * 20 and got[19] == "end-" and len(got) == 27
+    assert (got[50], got[51], got[52], got[54], got[55]) == ("${x2}", "a${x}", "${x}${k20}", "near-/${gone}", "${k0}")
+    assert {row.pos_order for row in rejected.collect()} == {50, 51, 52}
+
+
+def test_feign_before_rest_template(spark):
+    """One destination asked for by both: the RestTemplate call comes later, whatever the places in the files."""
+    columns = "app_id string, service string, provider string, destination string, operation string, environment string, overwrites boolean, from_method boolean, evidence string, ord long"
+    feign, rest = order_key(METHOD, F.lit(900)), order_key(REST_TEMPLATE, F.lit(1))
+    made = spark.createDataFrame([("a", "s", "p", "d", name, "e", False, True, name, 0) for name in ("feign()", "rest()")], columns)
+    made = made.withColumn("ord", F.when(F.col("operation") == "feign()", feign).otherwise(rest))
+    assert [row.operation for row in dependencies.merge_dependencies(made).rows.collect()] == ["rest()"]
+
+
 def rows(df, *columns):
     return {tuple(row) for row in df.select(*columns).collect()}
 
