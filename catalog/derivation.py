@@ -28,7 +28,10 @@ def quoted_list(items) -> str:
 
 
 def flags_of(f):
-    return module_flags(f.library, f.property, f.java_annotation)
+    """The flags of all modules, computed once for all rules of a query."""
+    if f._flags is None:
+        f._flags = cut_lineage(module_flags(f.library, f.property, f.java_annotation))
+    return f._flags
 
 
 # --- services ---------------------------------------------------------------------------------
@@ -319,12 +322,13 @@ def registry_pairs(f):
     return registry_pair(f.property).drop("name")
 
 
-TYPED = f"""{ALL_COMPONENTS}, {SERVICE_SQL},
+TYPED_ONLY = f"""{SERVICE_SQL},
 typed AS (
   SELECT s.app_id, s.service, CASE WHEN s.kind <> 'Microservice' OR spring = 0 THEN s.kind
     WHEN EXISTS (SELECT 1 FROM component c WHERE c.app_id = s.app_id AND c.service = s.service AND c.kind = 'Server')
     THEN 'Infrastructure' ELSE 'Functional' END AS kind
   FROM service s)"""
+TYPED = f"{ALL_COMPONENTS}, {TYPED_ONLY}"
 
 
 @query("classify_services", f"{TYPED} SELECT * FROM typed", (*COMPONENT_FACTS, "module"))
@@ -1083,19 +1087,30 @@ def gateway_dependencies(f):
 
 @query(
     "service_overview",
-    f"""{TYPED},
-link AS (SELECT DISTINCT app_id, container AS service, target FROM f_container_link)
-SELECT t.app_id, t.service, t.kind,
-  (SELECT count(*) FROM component c WHERE c.app_id = t.app_id AND c.service = t.service) AS components,
-  (SELECT count(DISTINCT category) FROM component c WHERE c.app_id = t.app_id AND c.service = t.service) AS categories,
-  (SELECT count(*) FROM link l WHERE l.app_id = t.app_id AND l.service = t.service) AS providers,
-  (SELECT count(*) FROM link l WHERE l.app_id = t.app_id AND l.target = t.service) AS consumers
-FROM typed t""",
-    (*COMPONENT_FACTS, "module", "container_link"),
+    f"""{TOPOLOGY}, {ONLY_DEPENDENCIES}, {WRAPPED}, {TYPED_ONLY},
+edge AS (SELECT DISTINCT app_id, service, provider FROM (
+  SELECT app_id, service, provider FROM direct UNION ALL SELECT app_id, service, provider FROM gateway_d) d),
+used AS (SELECT app_id, service, count(*) AS components, count(DISTINCT category) AS categories FROM component GROUP BY ALL),
+outgoing AS (SELECT app_id, service, count(*) AS providers FROM edge GROUP BY ALL),
+incoming AS (SELECT app_id, provider AS service, count(*) AS consumers FROM edge GROUP BY ALL)
+SELECT t.app_id, t.service, t.kind, coalesce(components, 0) AS components, coalesce(categories, 0) AS categories,
+  coalesce(providers, 0) AS providers, coalesce(consumers, 0) AS consumers
+FROM typed t LEFT JOIN used u ON t.app_id = u.app_id AND t.service = u.service
+  LEFT JOIN outgoing o ON t.app_id = o.app_id AND t.service = o.service
+  LEFT JOIN incoming i ON t.app_id = i.app_id AND t.service = i.service""",
+    TOPOLOGY_FACTS,
 )
 def overview(f):
-    """Infrastructure and linked neighbours of every service."""
-    merged = components.merge_components(components.contributions(f, flags_of(f))).rows
-    linked = dependencies.merge_dependencies(dependencies.from_links(f.container_link, f.container)).rows
+    """Infrastructure and neighbours of every service, over dependencies of every kind."""
+    merged, published = recovered(f)
+    configured, default = forwarded_of(f, merged, published)
+    columns = ["app_id", "service", "provider", "destination", "environment"]
+    direct = dependencies_of(f).rows.select(*columns).unionByName(
+        topology.circuit_breaker_dependencies(merged, published).select(*columns)
+    )
+    direct = cut_lineage(direct)
+    every = direct.unionByName(
+        topology.gateway_dependencies(configured.unionByName(default), direct).select(*columns)
+    )
     typed = services.classify_services(services.merge_services(f.container, f.module).rows, merged)
-    return service_overview({"microservice": typed, "component": merged, "dependency": linked})
+    return service_overview({"microservice": typed, "component": merged, "dependency": every})

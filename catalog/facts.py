@@ -328,23 +328,25 @@ def register(spark: SparkSession, sf_dir: str) -> None:
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
 
 
-def fact(spark: SparkSession, name: str) -> DataFrame:
-    return spark.sql(FACT_SQL[name])
-
-
 class LazyFacts:
     """Fact tables by attribute; only the ones a query reads are projected."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self._spark = spark
         self._seen: dict[str, DataFrame] = {}
+        self._flags: DataFrame | None = None
         register(spark, sf_dir)
+        # Counted once: as a subquery it would stand in the plan once for every use of an owner.
+        self._services = str(spark.table("supplier").count())
+
+    def _sql(self, statement: str) -> DataFrame:
+        return self._spark.sql(statement.replace(SERVICES, self._services))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._seen:
-            self._seen[name] = fact(self._spark, name)
+            self._seen[name] = self._sql(FACT_SQL[name])
         return self._seen[name]
 
 

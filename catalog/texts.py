@@ -15,7 +15,7 @@ from fleetscope.sources.compose import read_compose, read_dockerfiles
 
 
 def sql(f, statement: str):
-    return f._spark.sql(statement)
+    return f._sql(statement)
 
 
 # --- files ------------------------------------------------------------------------------------

@@ -87,9 +87,14 @@ def derive(facts: Facts, materialize: Callable[[DataFrame], DataFrame] = lambda
     every_dependency = direct.unionByName(
         topology.gateway_dependencies(forwarded, direct), allowMissingColumns=True
     )
-    every_endpoint = endpoint_rows.select("app_id", "service", "uri", "environment").unionByName(
-        forwarded.select("app_id", "service", "uri", "environment")
+    every_endpoint = endpoint_rows.select("app_id", "service", "uri", "environment", F.lit(False).alias("forwarded")).unionByName(
+        forwarded.select("app_id", "service", "uri", "environment", F.lit(True).alias("forwarded"))
     )
+    # What topology adds to a service has the facts of that service behind it.
+    behind = service.evidence.select("app_id", "service", "evidence", (F.col("phase") * F.lit(1 << 54) + F.col("seq")).alias("ord"))
+    added = every_dependency.join(dependency_rows.select("app_id", "service", "provider", "destination"), ["app_id", "service", "provider", "destination"], "left_anti")
+    added_evidence = added.select("app_id", "service", "provider", "destination").distinct().join(behind, ["app_id", "service"])
+    forwarded_evidence = forwarded.select("app_id", "service", "uri").distinct().join(behind, ["app_id", "service"])
     return {
         "architecture": architecture.rows,
         "architecture_evidence": architecture.evidence,
@@ -100,7 +105,7 @@ def derive(facts: Facts, materialize: Callable[[DataFrame], DataFrame] = lambda
         "component": component_rows,
         "component_evidence": component.evidence,
         "endpoint": every_endpoint,
-        "endpoint_evidence": endpoint.evidence,
+        "endpoint_evidence": endpoint.evidence.unionByName(forwarded_evidence),
         "queue_listener": listener.rows,
         "queue_listener_evidence": listener.evidence,
         "message": message.rows,
@@ -108,7 +113,7 @@ def derive(facts: Facts, materialize: Callable[[DataFrame], DataFrame] = lambda
         "operation": operation.rows,
         "operation_evidence": operation.evidence,
         "dependency": every_dependency,
-        "dependency_evidence": dependency.evidence,
+        "dependency_evidence": dependency.evidence.unionByName(added_evidence),
     }
 
 

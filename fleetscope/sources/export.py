@@ -88,9 +88,24 @@ def _ord(column: str = "ord") -> Column:
     return F.lpad(F.col(column).cast("string"), 19, "0")
 
 
+def _evidence_lines(rows: DataFrame, place: Column) -> DataFrame:
+    """A line per fact behind the element at ``place``, after everything else inside it."""
+    line = F.concat(F.lit("<GeneratingPSM>"), _escaped(F.col("evidence")), F.lit("</GeneratingPSM>"))
+    return rows.select("app_id", F.concat(place, _step(F.lit("z"), _ord(), "evidence")).alias("place"), line.alias("line"))
+
+
+def _placed_evidence(links: DataFrame, places: DataFrame, keys: list[str]) -> DataFrame:
+    """Evidence lines of elements whose place is looked up by ``keys``; a missing key equals an empty one."""
+    left = links.select("app_id", *[F.coalesce(key, F.lit("")).alias(key) for key in keys], "evidence", "ord")
+    right = places.select("app_id", *[F.coalesce(key, F.lit("")).alias(key) for key in keys], "owner")
+    return _evidence_lines(left.join(right, ["app_id", *keys]), F.col("owner"))
+
+
 def architecture_lines(derived: dict[str, DataFrame]) -> DataFrame:
-    """(app_id, place, line): sorted by place, the lines of one application form its document."""
-    components, dependencies = omit_defaults(derived["component"], derived["dependency"])
+    """(app_id, place, line): sorted by place, the lines of one application form its document.
+
+    ``derived`` has the tables of ``plans.derive``; messages, operations and evidence tables may be left out.
+    """
     service = _step("service")
     interface = F.concat(service, _step(F.lit("3")))
     kinds = {"Microservice": None, "Functional": "PIM:FunctionalMicroservice", "Infrastructure": "PIM:InfrastructureMicroservice"}
@@ -100,10 +115,17 @@ def architecture_lines(derived: dict[str, DataFrame]) -> DataFrame:
         return F.coalesce(*[F.when(F.col("kind") == kind, F.lit(text)) for kind, text in names.items() if text])
 
     component_place = F.concat(service, _step(F.lit("2"), _ord(), "kind", F.coalesce("category", F.lit("")), "technology"))
-    endpoint_place = F.concat(interface, _step(F.lit("e"), "uri", "environment"))
+    components, dependencies = omit_defaults(derived["component"].withColumn("owner", component_place), derived["dependency"])
+    endpoints = derived["endpoint"]
+    if "forwarded" not in endpoints.columns:
+        endpoints = endpoints.withColumn("forwarded", F.lit(False))
+    endpoint_place = F.concat(interface, _step(F.lit("e"), "uri", F.col("forwarded").cast("string"), "environment"))
     listener_place = F.concat(interface, _step(F.lit("q"), "queue", "operation_name"))
     dependency_place = F.concat(service, _step(F.lit("4"), "provider", "destination", F.col("wrapped").cast("string")))
-    parts = (
+    endpoints = endpoints.withColumn("owner", endpoint_place)
+    listeners = derived["queue_listener"].withColumn("owner", listener_place)
+    placed = dependencies.withColumn("owner", dependency_place)
+    parts = [
         _element(derived["architecture"], F.lit(""), "architecture", {"ArchitectureName": F.col("name")}),
         _element(
             derived["microservice"], service, "microservices",
@@ -114,29 +136,60 @@ def architecture_lines(derived: dict[str, DataFrame]) -> DataFrame:
             {"ContainerName": F.col("container_name")},
         ),
         _element(
-            components, component_place, "components",
+            components, F.col("owner"), "components",
             {"xsi:type": typed(component_kinds), "Category": F.col("category"), "Technology": F.col("technology"),
              "Environment": F.col("environment")},
         ),
         _element(derived["service_interface"], interface, "interface", {"ServerURL": F.col("server_url")}),
         _element(
-            derived["endpoint"], endpoint_place, "destinations",
+            endpoints, F.col("owner"), "destinations",
             {"xsi:type": F.lit("PIM:Endpoint"), "Environment": F.col("environment"), "RequestURI": F.col("uri")},
         ),
         _element(
-            derived["queue_listener"], listener_place, "destinations",
+            listeners, F.col("owner"), "destinations",
             {"xsi:type": F.lit("PIM:QueueListener"), "Environment": F.col("environment"), "QueueName": F.col("queue")},
         ),
         _element(
-            dependencies, dependency_place, "dependencies",
+            placed, F.col("owner"), "dependencies",
             {"ConsumerOperation": F.col("operation"), "ProviderName": F.col("provider"),
              "ProviderDestination": F.col("destination"), "isWrappedByCircuitBreaker": F.col("wrapped"),
              "Environment": F.col("environment")},
         ),
-    )
+    ]
+    # What belongs to a destination stands in the one of that name that the service declares itself.
+    own = endpoints.where(~F.col("forwarded")).select("app_id", "service", F.col("uri").alias("destination"), "owner")
+    queues = listeners.select("app_id", "service", F.col("queue").alias("destination"), "owner")
+    held = own.unionByName(queues).groupBy("app_id", "service", "destination").agg(F.min("owner").alias("holder"))
+    at_destination = ["app_id", "service", "destination"]
+    if "message" in derived:
+        message_place = F.concat("holder", _step(F.lit("m"), _ord(), "message_type", "body_schema", "schema_format"))
+        messages = derived["message"].join(held, at_destination).withColumn("owner", message_place)
+        shown = {"MessageType": F.col("message_type"), "BodySchema": F.col("body_schema"), "SchemaFormat": F.col("schema_format")}
+        parts.append(_element(messages, F.col("owner"), "messages", shown))
+        parts += _listed(derived, "message_evidence", messages, ["service", "destination", "message_type", "body_schema", "schema_format"])
+    if "operation" in derived:
+        operation_place = F.concat("holder", _step(F.lit("o"), _ord(), "name", "description"))
+        operations = derived["operation"].join(held, at_destination).withColumn("owner", operation_place)
+        shown = {"OperationName": F.col("name"), "OperationDescription": F.col("description")}
+        parts.append(_element(operations, F.col("owner"), "operation", shown))
+        parts += _listed(derived, "operation_evidence", operations, ["service", "name", "description"])
+    if "architecture_evidence" in derived:
+        parts.append(_evidence_lines(derived["architecture_evidence"], F.lit("")))
+    if "microservice_evidence" in derived:
+        ordered = derived["microservice_evidence"].withColumn("ord", F.col("phase") * F.lit(1 << 54) + F.col("seq"))
+        # Service, container and interface have the same facts behind them.
+        parts += [_evidence_lines(ordered, place) for place in (service, F.concat(service, _step(F.lit("1"))), interface)]
+    parts += _listed(derived, "component_evidence", derived["component"].withColumn("owner", component_place), ["service", "kind", "category", "technology"])
+    parts += _listed(derived, "endpoint_evidence", endpoints, ["service", "uri"])
+    parts += _listed(derived, "queue_listener_evidence", listeners, ["service", "queue", "operation_name"])
+    parts += _listed(derived, "dependency_evidence", placed, ["service", "provider", "destination"])
     return reduce(DataFrame.unionByName, parts)
 
 
+def _listed(derived: dict[str, DataFrame], name: str, places: DataFrame, keys: list[str]) -> list[DataFrame]:
+    return [_placed_evidence(derived[name], places, keys)] if name in derived else []
+
+
 def write_architecture(lines: DataFrame, folder: str, mode: str = "overwrite") -> None:
     """Text files per application; their lines in file order are the document."""
     ordered = lines.repartitionByRange("app_id", "place").sortWithinPartitions("app_id", "place")

@@ -230,6 +230,19 @@ def test_export(recovered, tmp_path, spark):
     assert len(services["gateway"].findall("interface/destinations")) == sum(
         row.service == "gateway" for row in derived["endpoint"].collect()
     )
+    gateway, users = services["gateway"], services["users"]
+    wrapped = [node for node in gateway.findall("dependencies") if node.get("isWrappedByCircuitBreaker") == "true"]
+    assert wrapped and all(node.findall("GeneratingPSM") for node in wrapped)
+    assert {tuple(sorted(line.text for line in node.findall("GeneratingPSM"))) for node in wrapped} == {
+        tuple(sorted(line.text for line in gateway.findall("GeneratingPSM")))
+    }
+    add = next(node for node in users.findall("interface/destinations") if node.get("RequestURI") == "POST /api/users/add")
+    assert [node.get("MessageType") for node in add.findall("messages")] == ["REQUEST", "RESPONSE"]
+    assert [node.get("OperationName") for node in add.findall("operation")] == ["add()"]
+    assert [child.tag for child in add] == ["messages", "messages", "operation", "GeneratingPSM"]
+    elements = ("components", "interface/destinations", "dependencies", "container", "interface")
+    assert all(node.findall("GeneratingPSM") for one in root.findall("microservices") for kind in elements for node in one.findall(kind))
+    assert [line.text for line in root.findall("GeneratingPSM")][0].startswith("DistributedApplicationProject")
     # The first category is the default and is left out.
     assert [node.get("Category") for node in services["gateway"].findall("components") if node.get("Technology") == "Zuul"] == [None]
 
