@@ -194,17 +194,43 @@ def application_name(f):
     return config.application_name(rows, ["file_no"])
 
 
+def _file(path: str, *lines: str) -> tuple[str, str]:
+    """SQL for the path and for the lines of a file of every supplier."""
+    return path, " || chr(10) || ".join(lines)
+
+
+_SVC = f"'svc-' || {text('s_suppkey')}"
+_NAME = "replace(s_name, '#', '-')"
+_PORT = text("8000 + s_suppkey % 7")
+_OPEN = "'$' || '{'"
+
+
+def _reference(*names: str) -> str:
+    return " || '/' || ".join(f"{_OPEN} || '{name}' || '}}'" for name in names)
+
+
+# A default, references inside a document and across documents and files, a missing one, a local port, and profiles.
+APPLICATION_YML = _file(
+    f"{_SVC} || '/src/main/resources/application.yml'",
+    f"'n: ' || {_NAME}", f"'spring.application.name: ' || {_SVC}", f"'port: ' || {_PORT}",
+    f"'url: http://localhost:' || {_reference('port')} || '/a'", f"'alias: ' || {_reference('n', 'base')}",
+    f"'opt: ' || {_reference('ctx:api')}", "'---'", "'spring.profiles: docker'", f"'host: ' || {_reference('n')}",
+    f"'far: ' || {_reference('boot')}",
+)
+BOOTSTRAP = _file(
+    f"{_SVC} || '/src/main/resources/bootstrap-' || {text('s_nationkey')} || '.properties'",
+    f"'boot=b' || {text('s_nationkey')}", "'n=boot'", f"'own=' || {_reference('n')}",
+)
+CENTRAL = _file(f"'central/config/application-' || {text('s_suppkey')} || '.yaml'", f"'shared: ' || {_reference('n', 'port')}")
+NAMED = _file(f"'central/config/svc-' || {text('s_suppkey')} || '-prod.yml'", f"'late: x' || {_reference('boot')}")
 MODULE_FILE = "\nUNION ALL\n".join(
-    f"SELECT {div('s_suppkey', 10)} AS app_id, {path} AS path, 'n: ' || s_name AS content FROM supplier"
-    for path in (
-        f"'svc-' || {text('s_suppkey')} || '/src/main/resources/application.yml'",
-        f"'svc-' || {text('s_suppkey')} || '/src/main/resources/bootstrap-' || {text('s_nationkey')} || '.properties'",
-        f"'svc-' || {text('s_suppkey')} || '/src/test/resources/application.yml'",
-        f"'svc-' || {text('s_suppkey')} || '/README.md'",
-        f"'central/config/application-' || {text('s_suppkey')} || '.yaml'",
-        f"'central/config/svc-' || {text('s_suppkey')} || '-prod.yml'",
+    f"SELECT {div('s_suppkey', 10)} AS app_id, {path} AS path, {content} AS content FROM supplier"
+    for path, content in (
+        APPLICATION_YML, BOOTSTRAP, CENTRAL, NAMED,
+        _file(f"{_SVC} || '/src/test/resources/application.yml'", "'n: of a test'"),
+        _file(f"{_SVC} || '/README.md'", "'n: of a text'"),
     )
-)
+)
 MODULE_KEY = f"SELECT {div('s_suppkey', 10)} AS app_id, 'svc-' || {text('s_suppkey')} AS module FROM supplier"
 
 
@@ -229,12 +255,46 @@ def module_config_files(f):
     return config_ops.module_config_files(sql(f, MODULE_FILE), modules, dirs, names)
 
 
-@query("collect_module_properties")
+# What the files say, read from the supplier rows they are made of.
+MODULE_PROPERTY = "\nUNION ALL\n".join(
+    f"SELECT {div('s_suppkey', 10)} AS app_id, {_SVC} AS module, {path} AS path, {phase} AS phase, {doc} AS doc, {pos} AS pos, "
+    f"'{name}' AS name, {value} AS value, '{profile}' AS profile FROM supplier"
+    for path, phase, doc, pos, name, value, profile in (
+        *((APPLICATION_YML[0], 0, 0, pos, name, value, "COMPILE") for pos, (name, value) in enumerate((
+            ("n", _NAME), ("spring.application.name", _SVC), ("port", _PORT),
+            ("url", f"'http://localhost:' || {_PORT} || '/a'"), ("alias", f"{_NAME} || '/' || {_reference('base')}"), ("opt", "'api'"),
+        ))),
+        *((APPLICATION_YML[0], 0, 1, pos + 6, name, value, "DOCKER") for pos, (name, value) in enumerate((
+            ("spring.profiles", "'docker'"), ("host", _NAME), ("far", f"'b' || {text('s_nationkey')}"),
+        ))),
+        *((BOOTSTRAP[0], 1, 0, pos, name, value, "COMPILE") for pos, (name, value) in enumerate((
+            ("boot", f"'b' || {text('s_nationkey')}"), ("n", "'boot'"), ("own", "'boot'"),
+        ))),
+        (NAMED[0], 3, 0, 0, "late", f"'xb' || {text('s_nationkey')}", "PROD"),
+    )
+)
+
+
+@query(
+    "collect_module_properties",
+    f"""f_own AS ({MODULE_PROPERTY}), f_port AS (
+  SELECT {div('s_suppkey', 10)} AS app_id, {_PORT} AS port, max(s_suppkey) AS last FROM supplier GROUP BY 1, 2),
+shared AS (
+  SELECT {div('m.s_suppkey', 10)} AS app_id, 'svc-' || {text('m.s_suppkey')} AS module,
+    'central/config/application-' || {text('c.s_suppkey')} || '.yaml' AS path, 2 AS phase, 0 AS doc, 0 AS pos, 'shared' AS name,
+    replace(m.s_name, '#', '-') || '/' || {text('8000 + m.s_suppkey % 7')} AS value, 'COMPILE' AS profile
+  FROM supplier m JOIN supplier c ON {div('m.s_suppkey', 10)} = {div('c.s_suppkey', 10)})
+SELECT o.app_id, module, path, phase, doc, pos, name,
+  CASE WHEN name = 'url' THEN 'http://svc-' || {text('last')} || '/a' ELSE value END AS value, profile
+FROM f_own o LEFT JOIN f_port p ON o.app_id = p.app_id AND contains(value, 'localhost:' || port)
+UNION ALL SELECT * FROM shared""",
+)
 def collect_module_properties(f):
     modules = sql(f, MODULE_KEY)
     dirs = modules.select("app_id", F.lit("central/").alias("config_dir")).distinct()
     ports = sql(f, PORT)
-    return config_ops.collect_module_properties(sql(f, MODULE_FILE), modules, dirs, ports)[0].drop("doc_order", "pos_order")
+    rows = config_ops.collect_module_properties(sql(f, MODULE_FILE), modules, dirs, ports)[0]
+    return rows.select("app_id", "module", "path", "phase", "doc", "pos", "name", "value", "profile")
 
 
 OPEN, SHUT = "'$' || '{'", "'}'"
