@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.registry import query, values
+from catalog.facts import FACT_SQL
+from catalog.registry import ORACLES, query, values
 from fleetscope import rules
 from fleetscope.functions.runtime import cut_lineage
 from fleetscope.operators import components, dependencies, endpoints, services, topology
 from fleetscope.operators import java_endpoints as java
 from fleetscope.operators.flags import module_flags, registry_pair
-from fleetscope.plans.derive import service_overview
+from fleetscope.plans.derive import derive, service_overview
+from fleetscope.schema import Facts
 
 CONTAINER_TEXT = (
     "'DockerContainerDefinition[ContainerName:' || name || ',ImageField:' || image || ', GeneratesLogs:' "
@@ -1114,3 +1116,13 @@ def overview(f):
     )
     typed = services.classify_services(services.merge_services(f.container, f.module).rows, merged)
     return service_overview({"microservice": typed, "component": merged, "dependency": every})
+
+
+@query("derive")
+def derive_fleet(f):
+    """The same overview from the whole derivation plan."""
+    tables = {name: getattr(f, name) for name in FACT_SQL}
+    return service_overview(derive(Facts.of(f._spark, tables, "bigint"), cut_lineage))
+
+
+ORACLES["derive"] = ORACLES["service_overview"]

@@ -8,7 +8,8 @@ from catalog.derivation import ANNOTATION_COMPONENTS, CONTAINER_COMPONENTS, CONT
 from catalog.registry import query
 from fleetscope import rules
 from fleetscope.operators import components, dependencies, endpoints, services
-from fleetscope.schema import fact_schema
+from fleetscope.functions.runtime import new_folder
+from fleetscope.schema import Facts, fact_schema
 from fleetscope.sources import export
 
 
@@ -71,3 +72,12 @@ def architecture_lines(f):
         }
     )
     return lines.groupBy("app_id", "line").agg(F.count("*").alias("hits"))
+
+
+@query("write_facts", "SELECT * FROM f_library", ("library",))
+def write_facts(f):
+    """Library facts written in buckets of applications and read again."""
+    spark = f._spark
+    folder = new_folder(spark, "facts")
+    export.write_facts(Facts.of(spark, {"library": f.library}, "bigint"), folder)
+    return export.read_facts(spark, folder, "bigint").library

@@ -3,6 +3,9 @@ the expected facts straight from the rows the texts are made of."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.facts import SERVICES, div, text
@@ -10,6 +13,7 @@ from catalog.registry import query
 from fleetscope import rules
 from fleetscope.functions.runtime import cut_lineage
 from fleetscope.operators import build, config as config_ops, deploy
+from fleetscope.plans.extract import extract
 from fleetscope.sources import config, export, files as file_ops, java, model_file, pom
 from fleetscope.sources.compose import read_compose, read_dockerfiles
 
@@ -873,3 +877,96 @@ def read_model_files(f):
         for fact, (name, value, extra) in shown.items()
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# --- whole extraction -------------------------------------------------------------------------
+
+_LIBRARY = f"'lib-' || {text('s_nationkey')}"
+FLEET_FILE = f"""
+{MODULE_FILE}
+UNION ALL SELECT {div('s_suppkey', 10)}, {_SVC} || '/pom.xml', '<project><artifactId>' || {_SVC} || '</artifactId><dependencies><dependency>'
+  || '<groupId>g</groupId><artifactId>' || {_LIBRARY} || '</artifactId></dependency></dependencies></project>' FROM supplier
+UNION ALL SELECT {div('s_suppkey', 10)}, {_SVC} || '/src/main/java/T.java', 'class T<A extends B> extends C {{ void m' || {text('s_suppkey')}
+  || '() {{ if (rest.exchange(wrap("u-' || {text('s_suppkey')} || '"), HttpMethod.GET) != null) {{ log.info(first(second(1))); }} }} }}' FROM supplier"""
+
+
+def fleet_files(f):
+    """Configuration, build and Java files of every supplier, and one compose file per application."""
+    service = F.concat(
+        F.lit("  svc-"), "s_suppkey", F.lit(":\n    image: acme/"), "s_nationkey", F.lit(":1\n    ports:\n      - \""),
+        (F.col("s_suppkey") % 7 + 8000).cast("string"), F.lit(":80\"\n"),
+    )
+    compose = (
+        sql(f, f"SELECT *, {div('s_suppkey', 10)} AS app_id FROM supplier")
+        .groupBy("app_id")
+        .agg(F.array_join(F.sort_array(F.collect_list(F.struct("s_suppkey", service.alias("text")))).getField("text"), "").alias("body"))
+        .select("app_id", F.lit("compose.yaml").alias("path"), F.concat(F.lit("version: '2'\nservices:\n"), "body").alias("content"))
+    )
+    return sql(f, FLEET_FILE).unionByName(compose)
+
+
+FLEET_FACT = f"""f_own AS ({MODULE_PROPERTY}), f_port AS (
+  SELECT {div('s_suppkey', 10)} AS app_id, {_PORT} AS port, max(s_suppkey) AS last FROM supplier GROUP BY 1, 2)
+SELECT {div('s_suppkey', 10)} AS app_id, 'container' AS kind, {_SVC} AS name, 'acme/' || {text('s_nationkey')} || ':1' AS detail FROM supplier
+UNION ALL SELECT {div('s_suppkey', 10)}, 'port', {_SVC}, {_PORT} || ':80' FROM supplier
+UNION ALL SELECT {div('s_suppkey', 10)}, 'module', {_SVC}, 'SpringMVC' FROM supplier
+UNION ALL SELECT {div('s_suppkey', 10)}, 'library', {_SVC}, {_LIBRARY} FROM supplier
+UNION ALL SELECT {div('s_suppkey', 10)}, 'extends', {_SVC}, 'C' FROM supplier
+UNION ALL SELECT {div('s_suppkey', 10)}, 'call', 'm' || {text('s_suppkey')} || '()', callee
+  FROM supplier CROSS JOIN (VALUES ('exchange'), ('wrap'), ('info'), ('first'), ('second')) calls(callee)
+UNION ALL SELECT o.app_id, 'property', module, name || '=' || profile || '=' ||
+  CASE WHEN name = 'url' THEN 'http://svc-' || {text('last')} || '/a' ELSE value END
+  FROM f_own o LEFT JOIN f_port p ON o.app_id = p.app_id AND contains(value, 'localhost:' || port)
+UNION ALL SELECT {div('m.s_suppkey', 10)}, 'property', 'svc-' || {text('m.s_suppkey')},
+  'shared=COMPILE=' || replace(m.s_name, '#', '-') || '/' || {text('8000 + m.s_suppkey % 7')}
+  FROM supplier m JOIN supplier c ON {div('m.s_suppkey', 10)} = {div('c.s_suppkey', 10)}"""
+
+
+def fleet_facts(f):
+    apps = sql(f, f"SELECT DISTINCT {div('s_suppkey', 10)} AS app_id, 'fleet' AS app_name, '/src' AS package_url FROM supplier")
+    dirs = apps.select("app_id", F.lit("central/").alias("config_dir"))
+    return extract(cut_lineage(fleet_files(f)), apps, dirs)
+
+
+@query("extract", FLEET_FACT)
+def extract_fleet(f):
+    """Facts of every kind that the files of a fleet give."""
+    facts, _ = fleet_facts(f)
+    parts = (
+        ("container", facts.container, "name", F.col("image")),
+        ("port", facts.container_port, "container", F.col("port")),
+        ("module", facts.module, "artifact_id", F.col("kind")),
+        ("library", facts.library, "project", F.col("library_name")),
+        ("extends", facts.java_supertype, "project", F.col("target_id")),
+        ("call", facts.java_invocation, "root_method", F.col("callee")),
+        ("property", facts.property, "project", F.concat_ws("=", "name", "profile", "value")),
+    )
+    rows = [df.select("app_id", F.lit(kind).alias("kind"), F.col(name).alias("name"), detail.alias("detail")) for kind, df, name, detail in parts]
+    return reduce(DataFrame.unionByName, rows)
+
+
+CIRCLE = f"""
+SELECT {div('p_partkey', 200)} AS app_id, CAST(0 AS INT) AS doc_order, p_partkey AS pos_order, 'k' || {text('p_partkey % 200')} AS name,
+  CASE WHEN p_partkey % 200 < 24 THEN {OPEN} || 'k' || {text('p_partkey % 200 + 1')} || {SHUT} || '-'
+    WHEN p_partkey % 200 = 50 THEN {OPEN} || 'k51' || {SHUT} WHEN p_partkey % 200 = 51 THEN 'a' || {OPEN} || 'k50' || {SHUT}
+    WHEN p_partkey % 200 > 150 THEN {OPEN} || 'k51' || {SHUT} || {OPEN} || 'k24' || {SHUT} ELSE 'end' END AS value
+FROM part"""
+
+
+@query(
+    "deep_placeholders",
+    f"""f_p AS ({CIRCLE}) SELECT pos_order, CASE WHEN pos_order % 200 < 24 AND last >= 24
+    THEN 'end' || repeat('-', CAST(24 - pos_order % 200 AS BIGINT)) ELSE value END AS value
+  FROM f_p JOIN (SELECT app_id AS app, max(pos_order % 200) AS last FROM f_p GROUP BY app_id) ends ON app = app_id""",
+)
+def deep_placeholders(f):
+    """References 24 levels deep, and values that lead into a circle, which stay as they were."""
+    return config_ops.resolve_placeholders(sql(f, CIRCLE), ["app_id"])[0].select("pos_order", "value")
+
+
+@query(
+    "circular_placeholders",
+    f"f_p AS ({CIRCLE}) SELECT pos_order, value FROM f_p WHERE pos_order % 200 IN (50, 51) OR pos_order % 200 > 150",
+)
+def circular_placeholders(f):
+    return config_ops.resolve_placeholders(sql(f, CIRCLE), ["app_id"])[1].select("pos_order", "value")

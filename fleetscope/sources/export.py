@@ -42,9 +42,10 @@ def write_facts(facts: Facts, folder: str, by_app: bool = False, buckets: int =
 
 
 def read_facts(spark: SparkSession, folder: str, app_type: str = "string") -> Facts:
-    tables = {
-        name: spark.read.schema(f"{columns}, app_id {app_type}").parquet(f"{folder}/{name}") for name, columns in FACT_SCHEMAS.items()
-    }
+    tables = {}
+    for name, columns in FACT_SCHEMAS.items():
+        rows = spark.read.schema(f"{columns}, app_id {app_type}").parquet(f"{folder}/{name}")
+        tables[name] = rows.drop(BUCKET)
     return Facts.of(spark, tables, app_type)
 
 
