@@ -277,3 +277,28 @@ def test_model_file(spark, tmp_path):
     assert rows(facts.container_link, "container", "dep_order", "target") == {("c", 1, "d"), ("c", 2, "e")}
     assert rows(facts.container, "name", "image", "generates_logs") == {("c", "i", False)}
     assert rows(facts.module, "artifact_id", "kind") == {("m", "Microservice")}
+
+
+def test_java_part_of_a_model_file(spark, tmp_path):
+    (tmp_path / "j.xmi").write_text(
+        '<r><application ApplicationName="A"><application_project><modules ProjectArtifactId="m"><layers><elements '
+        'xsi:type="PSM:JavaInterfaceType" xmlns:xsi="x" ElementIdentifier="I"/><elements ElementIdentifier="Api" PackageName="p" ElementProfile="TEST">'
+        '<annotations AnnotationName="RequestMapping"><parameters ParameterValue="/v"/><parameters ParameterName="path" ParameterValue="/w"/></annotations>'
+        '<extends ElementIdentifier="Base" PackageName="q"/><implements ElementIdentifier="I"/>'
+        '<methods ElementIdentifier="add()"><annotations AnnotationName="PostMapping"/><parameters ElementIdentifier="user" ParameterOrder="2">'
+        '<annotations AnnotationName="RequestBody"/><type ElementIdentifier="User" PackageName="p"/></parameters>'
+        '<returns ElementIdentifier="User"/><invokes ElementIdentifier="exchange()" RootCallingMethod="add()">'
+        '<parent ElementIdentifier="RestTemplate" PackageName="org"/><parameters FieldValue="u"/><parameters ElementIdentifier="x" ParameterOrder="2"/>'
+        '</invokes></methods></elements></layers></modules></application_project></application></r>'
+    )
+    facts = read_model_files(spark, str(tmp_path / "j.xmi"))
+    assert rows(facts.java_type, "type_id", "package", "kind", "profile") == {("I", "java.lang", "Interface", "COMPILE"), ("Api", "p", "Class", "TEST")}
+    assert rows(facts.java_supertype, "relation", "target_id", "target_package") == {("extends", "Base", "q"), ("implements", "I", "java.lang")}
+    assert rows(facts.java_annotation, "owner_kind", "annotation_name", "profile") == {
+        ("type", "RequestMapping", "TEST"), ("method", "PostMapping", "TEST"), ("parameter", "RequestBody", "TEST"),
+    }
+    assert rows(facts.annotation_param, "param_name", "param_value") == {("value", "/v"), ("path", "/w")}
+    assert rows(facts.java_method, "method_name", "return_type", "return_package") == {("add", "User", "java.lang")}
+    assert rows(facts.method_param, "param_order", "param_name", "type_name", "type_package") == {(2, "user", "User", "p")}
+    assert rows(facts.java_invocation, "root_method", "callee", "receiver_type", "receiver_package") == {("add()", "exchange", "RestTemplate", "org")}
+    assert rows(facts.invocation_arg, "arg_order", "arg_name", "arg_value") == {(1, "NOT_AVAILABLE", "u"), (2, "x", "NOT_APPLICABLE")}
