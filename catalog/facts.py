@@ -207,9 +207,13 @@ METHOD_ANNOTATIONS = ("GetMapping", "PostMapping", "RequestMapping", "RabbitList
 
 _METHOD_OWNER = f"(o_custkey % {SERVICES})"
 _METHOD_SLOT = f"{div('o_totalprice', 1)} % 6"
-_PARAM = """
-  SELECT l_orderkey, l_linenumber, min(l_partkey) AS partkey, min(l_returnflag) AS flag
-  FROM lineitem GROUP BY l_orderkey, l_linenumber"""
+# Line numbers of an order repeat; this one doesn't.
+LINE_NUMBER = (
+    "row_number() OVER (PARTITION BY l_orderkey "
+    "ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus)"
+)
+_PARAM = f"""
+  SELECT l_orderkey, {LINE_NUMBER} AS l_linenumber, l_partkey AS partkey, l_returnflag AS flag FROM lineitem"""
 _PARAM_KEY = f"{text('l_orderkey')} || '#' || {text('l_linenumber')}"
 
 JAVA_ANNOTATION = f"""
@@ -231,7 +235,7 @@ SELECT {div(_METHOD_OWNER, 10)}, o_orderkey, 'svc-' || {text(_METHOD_OWNER)}, 'T
   {cases(_METHOD_SLOT, names(METHOD_ANNOTATIONS), "'Override'")}, 'COMPILE'
 FROM orders
 UNION ALL
-SELECT {div(_METHOD_OWNER, 10)}, o_orderkey * 8 + l_linenumber, 'svc-' || {text(_METHOD_OWNER)}, 'T.java',
+SELECT {div(_METHOD_OWNER, 10)}, o_orderkey * 64 + l_linenumber, 'svc-' || {text(_METHOD_OWNER)}, 'T.java',
   'parameter', {_PARAM_KEY}, 'p' || {_PARAM_KEY},
   CASE flag WHEN 'A' THEN 'Param' WHEN 'N' THEN 'RequestBody' ELSE 'PathVariable' END, 'COMPILE'
 FROM ({_PARAM}) param JOIN orders ON o_orderkey = l_orderkey"""

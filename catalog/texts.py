@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.facts import SERVICES, div, text
+from catalog.facts import LINE_NUMBER, SERVICES, div, text
 from catalog.registry import query
 from fleetscope import rules
 from fleetscope.functions.runtime import cut_lineage
@@ -96,26 +96,26 @@ def validate_app_inputs(f):
 def document_yaml(f):
     """Every line of every document as a YAML line: first word as key, the rest as value."""
     words = F.filter(F.split("text", "\n"), lambda line: F.trim(line) != "")
+
+    def keyed(line):
+        """Marks stay in the value; in the key they would make another line of it."""
+        word = F.substring_index(line, " ", 1)
+        return F.concat(F.translate(word, ":#-", "..."), F.lit(": "), F.substring(line, F.length(word) + 1, F.length(line)))
+
     lines = F.transform(
         words,
-        lambda line, at: F.when(
-            at % 7 == 5, F.concat(F.repeat(F.lit("  "), at % 3), F.lit("- "), F.translate(line, ":#-", "..."))
-        ).otherwise(
-            F.concat(
-                F.repeat(F.lit("  "), at % 3), F.substring_index(F.translate(line, ":#-", "..."), " ", 1), F.lit(": "),
-                F.substring(
-                    F.translate(line, ":#-", "..."),
-                    F.length(F.substring_index(F.translate(line, ":#-", "..."), " ", 1)) + 1, F.length(line),
-                ),
-            )
+        lambda line, at: F.concat(
+            F.repeat(F.lit("  "), at % 3),
+            F.when(at % 7 == 5, F.concat(F.lit("- "), F.translate(line, ":#-", "..."))).otherwise(keyed(line)),
         ),
-    )
+    )
     return sql(f, "SELECT doc_id, text FROM documents").select("doc_id", F.array_join(lines, "\n").alias("content"))
 
 
 YAML_SQL = r"""
 line AS (
-  SELECT doc_id, spot, translate(raw, ':#-', '...') AS raw, split_part(translate(raw, ':#-', '...'), ' ', 1) AS word
+  SELECT doc_id, spot, CASE WHEN spot % 7 = 5 THEN translate(raw, ':#-', '...') ELSE raw END AS raw,
+    split_part(translate(raw, ':#-', '...'), ' ', 1) AS word
   FROM (SELECT doc_id, raw, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS spot
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS n
       FROM documents) s WHERE trim(raw) <> '') r),
@@ -132,7 +132,7 @@ spread AS (
   FROM line l LEFT JOIN depth d ON l.doc_id = d.doc_id AND l.spot = d.spot
   WINDOW w AS (PARTITION BY l.doc_id ORDER BY l.spot ROWS UNBOUNDED PRECEDING))
 SELECT doc_id, one || CASE WHEN size > 1 THEN '.' || two ELSE '' END || CASE WHEN size > 2 THEN '.' || three ELSE '' END
-  AS name, trim(CASE WHEN item THEN raw ELSE substr(raw, length(word) + 1) END) AS value, count(*) AS hits
+  AS name, trim(CASE WHEN item THEN raw ELSE split_part(substr(raw, length(word) + 1), '#', 1) END) AS value, count(*) AS hits
 FROM spread WHERE size IS NOT NULL AND (item OR trim(substr(raw, length(word) + 1)) <> '') GROUP BY ALL"""
 
 
@@ -655,9 +655,10 @@ def app_project(f):
 
 # --- Java source ------------------------------------------------------------------------------
 
-JAVA_LINE = """
-SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, min(l_suppkey) AS supp, min(l_returnflag) AS flag,
-  min(l_linestatus) AS status FROM lineitem GROUP BY l_orderkey, l_linenumber"""
+# Lines of an order are numbered anew: line numbers repeat, and every row is a method.
+JAVA_LINE = f"""
+SELECT l_orderkey, {LINE_NUMBER} AS l_linenumber, l_partkey AS part, l_suppkey AS supp, l_returnflag AS flag,
+  l_linestatus AS status FROM lineitem"""
 PROJECT = f"'svc-' || {text(f'o_custkey % {SERVICES}')}"
 APP = div(f"(o_custkey % {SERVICES})", 10)
 
