@@ -17,6 +17,7 @@ is written to the shared folder first (``on_disk=False``).
 
 from __future__ import annotations
 
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from fleetscope.llm.common import Lookup, materialize
-from fleetscope.llm.pretokens import load_ranks, segments
+from fleetscope.llm.common import Lookup, bounded_batches, materialize
+from fleetscope.llm.pretokens import load_ranks, split_text
 
 BETWEEN = b"\xff"  # never part of UTF-8
 PACKED = "block long, bucket int, n int, data binary"
@@ -60,20 +61,53 @@ def blocks(batches, most: int):
         yield base + number, ids, texts
 
 
-def distinct_words(texts: list[str], pattern, buckets: int) -> tuple[dict[str, list[str]], list[list[bytes]]]:
-    """Pre-tokens of every distinct segment, and the distinct pre-tokens in order, by bucket."""
-    parts: dict[str, list[str]] = {}
-    for text in texts:
-        for segment in set(segments(text)):
-            if segment not in parts:
-                parts[segment] = pattern.findall(segment)
-    dealt: list[list[bytes]] = [[] for _ in range(buckets)]
-    for word in {word for words in parts.values() for word in words}:
-        data = word.encode()
-        dealt[crc32(data) % buckets].append(data)
-    for words in dealt:
-        words.sort()
-    return parts, dealt
+class Block:
+    """Distinct pre-tokens of the texts of a block, numbered as they come."""
+
+    def __init__(self, pattern):
+        self.pattern, self.number = pattern, {}
+        self.packed: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}  # numbers by segment, and by segment without its blank
+
+    def _meet(self, pieces, packed: dict[str, bytes], blank: str) -> None:
+        """Cut the segments that are new. Those that begin with a blank are cut as one text, since that leaves the
+        places between them as they are."""
+        fresh = [piece for piece in dict.fromkeys(pieces) if piece not in packed]
+        joined = fresh if blank else []
+        for piece in [] if blank else fresh:
+            packed[piece] = self._numbers(self.pattern.findall(piece)).tobytes()
+        if joined:
+            words = self.pattern.findall(blank + blank.join(joined))
+            numbers = self._numbers(words).tobytes()
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+            lengths = np.fromiter(map(len, joined), np.int64, len(joined)) + 1
+            splits = 4 * (np.searchsorted(ends, np.cumsum(lengths)) + 1)
+            start = 0
+            for piece, end in zip(joined, splits.tolist(), strict=True):
+                packed[piece] = numbers[start:end]
+                start = end
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        number = self.number
+        return np.array([number.setdefault(word, len(number)) for word in words], np.uint32)
+
+    def numbers(self, text: str) -> bytes:
+        """Numbers of the text's pre-tokens, in order."""
+        first, rest = split_text(text)
+        self._meet(first, self.packed[0], "")
+        self._meet(rest, self.packed[1], " ")
+        return b"".join([*map(self.packed[0].__getitem__, first), *map(self.packed[1].__getitem__, rest)])
+
+    def dealt(self, buckets: int) -> tuple[list[list[bytes]], np.ndarray]:
+        """The words by bucket and in order, and the place of every number in that order."""
+        words = [word.encode() for word in self.number]
+        keys = [(crc32(word) % buckets, word, at) for at, word in enumerate(words)]
+        keys.sort()
+        made: list[list[bytes]] = [[] for _ in range(buckets)]
+        place = np.empty(len(words), np.uint32)
+        for spot, (bucket, word, at) in enumerate(keys):
+            made[bucket].append(word)
+            place[at] = spot
+        return made, place
 
 
 def take(starts: np.ndarray, counts: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -83,13 +117,14 @@ def take(starts: np.ndarray, counts: np.ndarray, values: np.ndarray) -> np.ndarr
     return values[shift + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, buckets: int | None = None, most: int = 24_000_000, on_disk: bool = True) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, buckets: int | None = None, most: int = 12_000_000, on_disk: bool = True) -> DataFrame:
     """``doc_id``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit integers), a row for each row of ``docs``.
 
     ``buckets`` deals out the distinct words (as many as shuffle partitions unless given), ``most`` bounds the
     characters of a block.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if not on_disk:
@@ -98,14 +133,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, buckets: int | None =
 
     def words(batches):
         cut = regex.compile(pattern)
-        for block, _, texts in blocks(batches, most):
-            dealt = distinct_words(texts, cut, count)[1]
+        for number, _, texts in blocks(batches, most):
+            block = Block(cut)
+            for text in texts:
+                block.numbers(text)
             del texts
+            dealt = block.dealt(count)[0]
+            del block
             packer = zstandard.ZstdCompressor(level=3)
             filled = [bucket for bucket in range(count) if dealt[bucket]]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "block": pa.array([block] * len(filled), pa.int64()),
+                    "block": pa.array([number] * len(filled), pa.int64()),
                     "bucket": pa.array(filled, pa.int32()),
                     "n": pa.array([len(dealt[bucket]) for bucket in filled], pa.int32()),
                     "data": pa.array([packer.compress(BETWEEN.join(dealt[bucket])) for bucket in filled], pa.binary()),
@@ -114,17 +153,19 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, buckets: int | None =
 
     def positions(batches):
         cut = regex.compile(pattern)
-        for block, ids, texts in blocks(batches, most):
-            parts, dealt = distinct_words(texts, cut, count)
-            number = {word.decode(): at for at, word in enumerate(word for bucket in dealt for word in bucket)}
-            packed = {segment: np.array([number[word] for word in found], np.uint32).tobytes() for segment, found in parts.items()}
-            del parts, dealt, number
-            whole = [b"".join([packed[segment] for segment in segments(text)]) for text in texts]
+        for number, ids, texts in blocks(batches, most):
+            block = Block(cut)
+            whole = [block.numbers(text) for text in texts]
+            del texts
             known = np.array([doc_id is not None for doc_id in ids], np.uint8)
             head = np.array([(doc_id or 0, len(data) // 4) for doc_id, data in zip(ids, whole, strict=True)], np.int64)
-            data = zstandard.ZstdCompressor(level=1).compress(known.tobytes() + head.tobytes() + b"".join(whole))
+            place = block.dealt(count)[1]
+            del block
+            numbers = place[np.frombuffer(b"".join(whole), np.uint32)]
+            del whole
+            data = zstandard.ZstdCompressor(level=1).compress(known.tobytes() + head.tobytes() + numbers.tobytes())
             yield pa.RecordBatch.from_pydict(
-                {"block": pa.array([block], pa.int64()), "bucket": pa.array([-1], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "data": pa.array([data], pa.binary())}
+                {"block": pa.array([number], pa.int64()), "bucket": pa.array([-1], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "data": pa.array([data], pa.binary())}
             )
 
     def encode_words(batches):
@@ -137,7 +178,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, buckets: int | None =
                 found = [known[word] for word in reader.decompress(data).split(BETWEEN)]
                 known.trim()
                 sizes = np.array([len(ids) for ids in found], np.uint32)
-                packed.append(pack(np.concatenate([sizes, *[np.array(ids, np.uint32) for ids in found]])))
+                packed.append(pack(np.append(sizes, np.fromiter(chain.from_iterable(found), np.uint32))))
             yield batch.set_column(3, "data", pa.array(packed, pa.binary()))
 
     def assemble(table: pa.Table) -> pa.Table:
@@ -181,9 +222,9 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     place = encoded.columns.index("ids")
 
     def work(batches):
-        token = {rank: data for data, rank in load_ranks(ranks_path).items()}
+        token = {rank: data for data, rank in load_ranks(ranks_path).items()}.__getitem__
         for batch in batches:
-            texts = [None if ids is None else b"".join([token[at] for at in np.frombuffer(ids, "<u4").tolist()]) for ids in batch.column(place).to_pylist()]
+            texts = [None if ids is None else b"".join(map(token, np.frombuffer(ids, "<u4").tolist())) for ids in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(work, StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))

@@ -36,6 +36,11 @@ def materialize(df: DataFrame, kind: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Rows handed to Python at a time, for this session: a batch of long texts stays small on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def fold(column: str, parts: int):
     """``crc32`` of the id as text, modulo ``parts``; a missing id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts

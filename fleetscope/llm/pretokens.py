@@ -15,14 +15,22 @@ ASCII_PAIRS = [letter + " " for letter in map(chr, range(128)) if letter.isspace
 SEGMENT = regex.compile(r"\s*\S+|\s+")
 
 
-def segments(text: str) -> list[str]:
-    """Pieces whose concatenation is the text, none of which shares a pre-token with its neighbour."""
+def split_text(text: str) -> tuple[list[str], list[str]]:
+    """Segments, and further segments without the single blank that they begin with.
+
+    Their concatenation, blanks put back, is the text; none shares a pre-token with its neighbour.
+    """
     if not text:
-        return []
+        return [], []
     if text[0] == " " or (any(pair in text for pair in ASCII_PAIRS) if text.isascii() else BLANK_AFTER_SPACE.search(text)):
-        return SEGMENT.findall(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + piece for piece in rest]]
+        return SEGMENT.findall(text), []
+    pieces = text.split(" ")
+    return pieces[:1], pieces[1:]
+
+
+def segments(text: str) -> list[str]:
+    first, rest = split_text(text)
+    return [*first, *[" " + piece for piece in rest]]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

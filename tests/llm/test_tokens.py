@@ -65,7 +65,7 @@ def test_bpe_of_no_rows(spark, no_docs):
 
 def test_orc_index(spark, edge_rows, edge_docs):
     folder = shared_folder(spark, "tokens")
-    token_orc.write_tokens(edge_docs, folder, FILE, parts=3, stride=10)
+    token_orc.write_tokens(edge_docs, folder, FILE, parts=3)
     got = token_orc.token_index(token_orc.read_tokens(spark, folder)).collect()
     library, start, want = Tokenizer.from_file(FILE), 0, []
     rows = [(doc_id, [*library.encode(text or "", add_special_tokens=False).ids, 2]) for doc_id, text in edge_rows]
