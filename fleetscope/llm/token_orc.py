@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fleetscope.llm.common import worker_cache
-from fleetscope.llm.pretokens import PATTERN, segments
+from fleetscope.llm.common import bounded_batches, worker_cache
+from fleetscope.llm.pretokens import PATTERN, split_text
 
 SCHEMA = "part int, doc_id long, ids array<int>"
 
@@ -34,7 +34,9 @@ class SegmentCoder:
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known: dict[str, bytes] = {}
+        self.behind_blank: dict[str, bytes] = {}
         parts = self.tokenizer.pre_tokenizer
         self.plain = self.tokenizer.normalizer is None and repr(parts).startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in repr(parts)
         self.special = {token.content: at for at, token in self.tokenizer.get_added_tokens_decoder().items()}
@@ -43,21 +45,27 @@ class SegmentCoder:
         self.letters = {byte: byte for byte in printable} | {byte: 256 + at for at, byte in enumerate(others)}
         self.cut = regex.compile(PATTERN)
 
-    def segment(self, text: str) -> bytes:
-        pieces = [piece.encode().decode("latin-1").translate(self.letters) for piece in self.cut.findall(text)]
-        ids = np.array([token.id for piece in pieces for token in self.tokenizer.model.tokenize(piece)], "<u4").tobytes()
-        self.known[text] = ids
-        return ids
+    def ids(self, segment: str) -> bytes:
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        pieces = [piece.encode().decode("latin-1").translate(letters) for piece in self.cut.findall(segment)]
+        return np.array([token.id for piece in pieces for token in tokenize(piece)], "<u4").tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.plain or any(token in text for token in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        return b"".join([known[piece] if piece in known else self.segment(piece) for piece in segments(text)])
+        known, behind = self.known, self.behind_blank
+        if len(known) + len(behind) > self.most:
+            known.clear()
+            behind.clear()
+        first, rest = split_text(text)
+        for piece in first:
+            if piece not in known:
+                known[piece] = self.ids(piece)
+        for piece in set(rest).difference(behind):
+            behind[piece] = self.ids(" " + piece)
+        return b"".join([*map(known.__getitem__, first), *map(behind.__getitem__, rest)])
 
 
 def tokenize(docs: DataFrame, path: str, end: int = 2) -> DataFrame:
@@ -81,6 +89,7 @@ def tokenize(docs: DataFrame, path: str, end: int = 2) -> DataFrame:
 def write_tokens(docs: DataFrame, folder: str, path: str, end: int = 2, parts: int | None = None, stride: int = 1000) -> None:
     """Write ORC files in ascending order of ``doc_id``. Texts are tokenized after they are dealt out by range."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     count = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = docs.select("doc_id", "text").repartitionByRange(count, F.col("doc_id").asc_nulls_first())
     numbered = tokenize(ranged, path, end).select(F.spark_partition_id().alias("part"), "doc_id", "ids")
