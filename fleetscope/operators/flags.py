@@ -124,16 +124,15 @@ def registry_pair(properties: DataFrame) -> DataFrame:
 def gate(candidates: DataFrame, flags: DataFrame) -> DataFrame:
     """Keep candidates whose needed flag was set before them and whose vetoing flag was never set.
 
-    ``needs`` and ``unless`` name a flag or are null. Candidates without either skip the join.
+    ``needs`` and ``unless`` name a flag or are null; a candidate with neither is kept. Flags are one row a
+    module, so candidates meet them in one join, however many rules there are, and are read once.
     """
-    free = candidates.where(F.col("needs").isNull() & F.col("unless").isNull())
     cases = " ".join(f"WHEN '{flag}' THEN first_{flag}" for flag in _RUNNING if flag != rules.EUREKA)
     first = F.expr(f"CASE needs {cases} END")
-    gated = (
-        candidates.where(F.col("needs").isNotNull() | F.col("unless").isNotNull())
-        .join(flags, ["app_id", "project"], "left")
+    return (
+        candidates.join(flags, ["app_id", "project"], "left")
         .where(F.col("needs").isNull() | (first < F.col("ord")))
         .where(F.col("unless").isNull() | F.col("first_eureka").isNull())
         .select(*candidates.columns)
+        .drop("needs", "unless")
     )
-    return free.unionByName(gated).drop("needs", "unless")
