@@ -81,19 +81,17 @@ def derive(facts: Facts, materialize: Callable[[DataFrame], DataFrame] = lambda
         topology.gateway_default_routes(gateway_services, routes, facts.property, component_rows, endpoint_rows)
     )
     dependency_rows = materialize(dependency.rows.select(*DEPENDENCY_COLUMNS))
-    direct = dependency_rows.unionByName(
-        topology.circuit_breaker_dependencies(component_rows, endpoint_rows), allowMissingColumns=True
-    )
-    every_dependency = direct.unionByName(
-        topology.gateway_dependencies(forwarded, direct), allowMissingColumns=True
-    )
+    streams = topology.circuit_breaker_dependencies(component_rows, endpoint_rows)
+    direct = dependency_rows.unionByName(streams, allowMissingColumns=True)
+    wrapped = topology.gateway_dependencies(forwarded, direct)
+    every_dependency = direct.unionByName(wrapped, allowMissingColumns=True)
     every_endpoint = endpoint_rows.select("app_id", "service", "uri", "environment", F.lit(False).alias("forwarded")).unionByName(
         forwarded.select("app_id", "service", "uri", "environment", F.lit(True).alias("forwarded"))
     )
     # What topology adds to a service has the facts of that service behind it.
     behind = service.evidence.select("app_id", "service", "evidence", (F.col("phase") * F.lit(1 << 54) + F.col("seq")).alias("ord"))
-    added = every_dependency.join(dependency_rows.select("app_id", "service", "provider", "destination"), ["app_id", "service", "provider", "destination"], "left_anti")
-    added_evidence = added.select("app_id", "service", "provider", "destination").distinct().join(behind, ["app_id", "service"])
+    key = ["app_id", "service", "provider", "destination"]
+    added_evidence = streams.select(*key).unionByName(wrapped.select(*key)).distinct().join(behind, ["app_id", "service"])
     forwarded_evidence = forwarded.select("app_id", "service", "uri").distinct().join(behind, ["app_id", "service"])
     return {
         "architecture": architecture.rows,
