@@ -6,6 +6,7 @@ import string
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from fleetscope.llm.common import Lookup, mix
@@ -103,11 +104,23 @@ class NGrams:
         return distinct((np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int32))
 
 
+def list_rows(column) -> list[np.ndarray]:
+    """The lists of an Arrow column as views of one array, without a Python number for each entry."""
+    if not len(column):
+        return []
+    lists = column.combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.chunk(0)
+    ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    return [values[start:end] for start, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 def sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and buckets of all entries, row after row."""
     sizes = np.array([len(row) for row in rows], np.int64)
-    columns = np.concatenate([np.asarray(row, np.int64) for row in rows]) if rows else np.empty(0, np.int64)
-    return np.repeat(np.arange(len(rows)), sizes), columns
+    columns = np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32)
+    return np.repeat(np.arange(len(rows), dtype=np.int32), sizes), columns
 
 
 def keep_frequent(row: np.ndarray, column: np.ndarray, least: int) -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.llm.common import fold, labelled_sample
-from fleetscope.llm.features import WIDTH, NGrams, keep_frequent, sigmoid, sparse
+from fleetscope.llm.features import WIDTH, NGrams, keep_frequent, list_rows, sigmoid, sparse
 
 PARTS, HELD = 4, 2
 
@@ -106,9 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
     sample = labelled_sample(docs, labels, label, PARTS, HELD, most)
     got = sample.mapInArrow(encode, "id long, found array<int>, label int").toArrow().sort_by("id")
-    rows = [np.asarray(value, np.int64) for value in got.column("found").to_pylist()]
-    ids = np.array(got.column("id").to_pylist(), np.int64)
-    return train(rows, np.array(got.column("label").to_pylist(), np.int64), (ids // 3) % 5 == 0)
+    ids, label = got.column("id").to_numpy(), got.column("label").to_numpy()
+    return train(list_rows(got.column("found")), label.astype(np.int64), (ids // 3) % 5 == 0)
 
 
 def scorer(known: dict):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.llm.common import Lookup, fold, labelled_sample
-from fleetscope.llm.features import WIDTH, all_pieces, pieces, plain, sigmoid, sparse
+from fleetscope.llm.features import WIDTH, all_pieces, list_rows, pieces, plain, sigmoid, sparse
 
 PARTS, HELD = 5, 0
 
@@ -129,13 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 80
 
     sample = labelled_sample(docs, labels, label, PARTS, HELD, most)
     got = sample.mapInArrow(encode, "id long, label int, found array<int>, said array<array<int>>, swapped array<array<int>>").toArrow().sort_by("id")
-    rows = [np.asarray(value, np.int64) for value in got.column("found").to_pylist()]
-    pairs = [
-        pair
-        for said, other in zip(got.column("said").to_pylist(), got.column("swapped").to_pylist(), strict=True)
-        for pair in zip(said, other, strict=True)
-    ]
-    return train(rows, np.array(got.column("label").to_pylist(), np.float64), pairs, penalty)
+    sides = [list_rows(pa.chunked_array([chunk.flatten() for chunk in got.column(name).chunks], kind)) for name in ("said", "swapped")]
+    pairs = list(zip(*sides, strict=True))
+    return train(list_rows(got.column("found")), got.column("label").to_numpy().astype(np.float64), pairs, penalty)
 
 
 def toxicity_scores(docs: DataFrame, model: dict, at_least: float = 0.5) -> DataFrame:
