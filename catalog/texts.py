@@ -703,7 +703,8 @@ def java_parts(f):
 
 def java_methods_of(f):
     _, segments, types = java_parts(f)
-    members = java.java_members(segments, types)
+    # Methods ask several things of a member's text, fields too: mark it once.
+    members = cut_lineage(java.java_members(segments, types))
     return segments, types, members, java.java_methods(members)
 
 
@@ -843,6 +844,42 @@ def java_invocation_args(f):
     )
 
 
+NESTED_FILE = f"""
+SELECT {div('s_suppkey', 10)} AS app_id, 'svc-' || {text('s_suppkey')} AS project, 'N' || {text('s_suppkey')} || '.java' AS path,
+  'class N' || {text('s_suppkey')} || ' {{ public <T extends Comparable<T>> T max' || {text('s_suppkey')}
+  || '(Map<String, List<Map<String, List<T>>>> all) {{ one.first(all); }} '
+  || 'Mono<ResponseEntity<List<Map<String, Object>>>> mono(' || repeat('List<', CAST(s_suppkey % 20 + 1 AS INT)) || 'Item'
+  || repeat('>', CAST(s_suppkey % 20 + 1 AS INT)) || ' all) {{ two.second(all); }} int a, b' || {text('s_suppkey')} || '; }}' AS content
+FROM supplier"""
+
+
+@query(
+    "java_nested_members",
+    f"""n AS (SELECT {div('s_suppkey', 10)} AS app_id, {text('s_suppkey')} AS k, CAST(s_suppkey % 20 + 1 AS INT) AS deep FROM supplier)
+SELECT app_id, 'method' AS kind, 'max' || k AS name, 'T' AS detail FROM n
+UNION ALL SELECT app_id, 'method', 'mono', 'Mono<ResponseEntity<List<Map<String,Object>>>>' FROM n
+UNION ALL SELECT app_id, 'parameter', 'max' || k, 'Map<String,List<Map<String,List<T>>>>' FROM n
+UNION ALL SELECT app_id, 'parameter', 'mono', repeat('List<', deep) || 'Item' || repeat('>', deep) FROM n
+UNION ALL SELECT app_id, 'call', 'max' || k || '()', 'first' FROM n
+UNION ALL SELECT app_id, 'call', 'mono()', 'second' FROM n
+UNION ALL SELECT app_id, 'rejected', 'N' || k, 'int a, b' || k FROM n""",
+)
+def java_nested_members(f):
+    """Methods with bounded type parameters and deep generics, what they take and call, and a member that is not understood."""
+    segments = cut_lineage(java.source_segments(sql(f, NESTED_FILE)))
+    types = java.java_types(segments)
+    members = cut_lineage(java.java_members(segments, types))
+    methods = java.java_methods(members)
+    parts = (
+        ("method", methods, "method_name", "return_type"),
+        ("parameter", java.method_params(methods), "method_name", "type_name"),
+        ("call", java.java_invocations(segments, methods), "root_method", "callee"),
+        ("rejected", java.member_rejects(members), "type_id", "text"),
+    )
+    rows = [df.select("app_id", F.lit(kind).alias("kind"), F.col(name).alias("name"), F.col(detail).alias("detail")) for kind, df, name, detail in parts]
+    return reduce(DataFrame.unionByName, rows)
+
+
 # --- model files ------------------------------------------------------------------------------
 
 MODEL = f"""

@@ -43,8 +43,11 @@ def owned_files(files: DataFrame, modules: DataFrame) -> DataFrame:
 _FILE, _PART, _INNER = 21, 20, 12
 
 
-def java_facts(files: DataFrame, modules: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Java fact tables, and the files without a recognised type; ``modules`` has (app_id, module)."""
+def java_facts(files: DataFrame, modules: DataFrame) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """Java fact tables, the files without a recognised type, and the member heads that are not understood.
+
+    ``modules`` has (app_id, module).
+    """
     sources = files.where(F.col("path").endswith(".java"))
     numbers = cut_lineage(file_numbers(sources))
     owned = owned_files(sources, modules)
@@ -59,7 +62,7 @@ def java_facts(files: DataFrame, modules: DataFrame) -> tuple[dict[str, DataFram
 
     segments = cut_lineage(java.source_segments(owned))
     types = cut_lineage(java.java_types(segments))
-    members = java.java_members(segments, types)
+    members = cut_lineage(java.java_members(segments, types))
     methods = cut_lineage(java.java_methods(members))
     params = java.method_params(methods)
     calls = cut_lineage(java.java_invocations(segments, methods))
@@ -137,7 +140,7 @@ def java_facts(files: DataFrame, modules: DataFrame) -> tuple[dict[str, DataFram
         "java_type": type_rows, "java_supertype": supertypes.unionByName(imports), "java_annotation": annotations,
         "annotation_param": annotation_params, "java_method": method_rows, "method_param": param_rows,
         "java_invocation": invocations, "invocation_arg": args,
-    }, java.rejects(owned, types)
+    }, java.rejects(owned, types), java.member_rejects(members)
 
 
 def extract(
@@ -206,7 +209,7 @@ def extract(
     )
     project = build.app_projects(apps, poms.where(F.col("path") == "pom.xml")).withColumn("seq", F.lit(0).cast("long"))
     kinds = build.classify_modules(modules.select("app_id", "artifact", "artifact_id"), libraries)
-    java_tables, unread = java_facts(files, keys)
+    java_tables, unread, odd_members = java_facts(files, keys)
     facts = Facts.of(
         spark,
         {
@@ -232,6 +235,7 @@ def extract(
         "build_files": deep,
         "compose_files": chosen.select("app_id", "path").join(compose.select("app_id", "path"), ["app_id", "path"], "left_anti"),
         "java_files": unread,
+        "java_members": odd_members,
         "placeholders": circular,
         "poms": poms.where("artifact_id IS NULL").select("app_id", "path"),
     }
