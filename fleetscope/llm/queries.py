@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import byte_bpe, chat, decontaminate, jaccard_join, line_crf, nb_svm, pii, token_orc, toxicity, warc
+from fleetscope.llm import (
+    byte_bpe, chat, collocations, decontaminate, filter_audit, jaccard_join, line_crf, nb_svm, pii, string_kernel, token_orc, toxicity, warc,
+)
 from fleetscope.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +179,82 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text")
     )
     return chat.read_conversations(chat.format_conversations(rows.unionByName(probe)))
+
+
+_ORDERS = " UNION ALL ".join(f"SELECT '{''.join(order)}' AS filter_order" for order in permutations("ABCDE"))
+
+
+@query(f"""
+WITH tokens AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), smallest AS (SELECT text, min(doc_id) AS first_id FROM tokens GROUP BY text),
+marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad
+  FROM labels GROUP BY doc_id
+), failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS mask
+  FROM tokens JOIN smallest USING (text) LEFT JOIN marks USING (doc_id)
+), cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM failed GROUP BY part, mask),
+orders AS ({_ORDERS}),
+steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS letter, substr(filter_order, 1, step - 1) AS earlier
+  FROM orders, unnest(range(1, 6)) AS u(step)
+), met AS (
+  SELECT part, filter_order, step, letter, n, good, bad, mask, contains(mask, letter) AS fails,
+    mask <> '' AND translate(mask, earlier, '') <> mask AS gone
+  FROM steps, cells
+), sums AS (
+  SELECT part, filter_order, step, letter,
+    sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = letter THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT gone THEN bad ELSE 0 END) AS toxic_lost
+  FROM met GROUP BY part, filter_order, step, letter
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM sums
+""")
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("""
+WITH pieces AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, regexp_extract_all(part, '[^\x20\x09]+') AS w
+  FROM (SELECT doc_id, lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS part FROM documents)
+), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+counts AS (
+  SELECT lang, size, list_slice(w, pos, pos + size - 1) AS words, count(*) AS f
+  FROM pieces, unnest([1, 2, 3]) AS s(size), unnest(range(1, greatest(len(w) - size + 1, 0) + 1)) AS u(pos) GROUP BY lang, size, words
+), often AS (SELECT * FROM counts WHERE f >= 10),
+cuts AS (
+  SELECT o.lang, o.words, o.size, o.f AS a, k, x.f AS l, y.f AS r,
+    CAST((CAST(1000000 AS HUGEINT) * o.f * o.f) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM often o, unnest(range(1, o.size)) AS u(k)
+  JOIN counts x ON x.lang = o.lang AND x.words = list_slice(o.words, 1, k)
+  JOIN counts y ON y.lang = o.lang AND y.words = list_slice(o.words, k + 1, o.size)
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1
+), inside AS (
+  SELECT DISTINCT s.lang, s.words FROM often s JOIN often t ON t.lang = s.lang AND s.size = 2 AND t.size = 3
+    AND (s.words = list_slice(t.words, 1, 2) OR s.words = list_slice(t.words, 2, 3)) AND 100 * t.f >= 50 * s.f
+), ranked AS (
+  SELECT b.lang, array_to_string(b.words, ' ') AS phrase, a, l, r, score FROM best b
+  WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.words = b.words)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM ranked JOIN totals USING (lang) QUALIFY rank <= 2000
+""")
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return string_kernel.languages(docs, string_kernel.fit(docs))
