@@ -11,6 +11,7 @@ equal ids keep one order, by the ids they hold. An empty table gives files witho
 
 from __future__ import annotations
 
+from array import array
 from zlib import crc32
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fleetscope.llm.common import bounded_batches, worker_cache
+from fleetscope.llm.common import Lookup, bounded_batches, materialize, worker_cache
 from fleetscope.llm.pretokens import PATTERN, split_text
 
 SCHEMA = "part int, doc_id long, ids array<int>"
@@ -35,20 +36,32 @@ class SegmentCoder:
 
     def __init__(self, path: str, most: int = 1_000_000):
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[str, bytes] = {}
-        self.behind_blank: dict[str, bytes] = {}
+        self.known, self.behind_blank = Lookup(self.ids), Lookup(self.ids_behind_blank)
         parts = self.tokenizer.pre_tokenizer
         self.plain = self.tokenizer.normalizer is None and repr(parts).startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in repr(parts)
         self.special = {token.content: at for at, token in self.tokenizer.get_added_tokens_decoder().items()}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [byte for byte in range(256) if byte not in set(printable)]
-        self.letters = {byte: byte for byte in printable} | {byte: 256 + at for at, byte in enumerate(others)}
-        self.cut = regex.compile(PATTERN)
+        letters = {byte: byte for byte in printable} | {byte: 256 + at for at, byte in enumerate(others)}
+        self.letters = "".join(chr(letters[byte]) for byte in range(256))
+        self.blank = self.letters[ord(" ")]
+        self.cut, self.tokenize = regex.compile(PATTERN).findall, self.tokenizer.model.tokenize
+
+    def shown(self, piece: str) -> str:
+        """The piece with a letter for each of its bytes."""
+        return piece.encode().decode("latin-1").translate(self.letters)
 
     def ids(self, segment: str) -> bytes:
-        tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        pieces = [piece.encode().decode("latin-1").translate(letters) for piece in self.cut.findall(segment)]
-        return np.array([token.id for piece in pieces for token in tokenize(piece)], "<u4").tobytes()
+        """Ids of a segment; letters alone are one pre-token."""
+        if segment.isalpha():
+            return array("I", [token.id for token in self.tokenize(segment if segment.isascii() else self.shown(segment))]).tobytes()
+        return array("I", [token.id for piece in self.cut(segment) for token in self.tokenize(self.shown(piece))]).tobytes()
+
+    def ids_behind_blank(self, segment: str) -> bytes:
+        """Ids of a blank and the segment."""
+        if segment.isalpha():
+            return array("I", [token.id for token in self.tokenize(self.blank + (segment if segment.isascii() else self.shown(segment)))]).tobytes()
+        return self.ids(" " + segment)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -60,11 +73,6 @@ class SegmentCoder:
             known.clear()
             behind.clear()
         first, rest = split_text(text)
-        for piece in first:
-            if piece not in known:
-                known[piece] = self.ids(piece)
-        for piece in set(rest).difference(behind):
-            behind[piece] = self.ids(" " + piece)
         return b"".join([*map(known.__getitem__, first), *map(behind.__getitem__, rest)])
 
 
@@ -121,7 +129,8 @@ def token_index(tokens: DataFrame) -> DataFrame:
                 ["part", "doc_id", "n_tokens", "ids_crc32"],
             )
 
-    sized = tokens.select("part", "doc_id", "ids").mapInArrow(work, "part int, doc_id long, n_tokens long, ids_crc32 long")
+    # The files are read once: sizes and sums are a small table, which totals and offsets are made of.
+    sized = materialize(tokens.select("part", "doc_id", "ids").mapInArrow(work, "part int, doc_id long, n_tokens long, ids_crc32 long"), "sizes")
     order = [F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32"]
     inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range

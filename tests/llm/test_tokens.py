@@ -90,6 +90,53 @@ def test_orc_files_are_sorted_and_carry_metadata(spark, edge_docs):
     assert spark.read.orc(folder).where("doc_id = 101").count() == 1
 
 
+@pytest.fixture(scope="module")
+def orc_reader(spark):
+    """The ORC library's own reader of one written file, and the first of the even ids that the file holds."""
+    first = 1 << 40
+    docs = spark.range(20_000).selectExpr(f"{first} + 2 * id AS doc_id", "concat('text ', id % 7) AS text")
+    folder = shared_folder(spark, "tokens")
+    token_orc.write_tokens(docs, folder, FILE, parts=1)
+    java = spark._jvm
+    path = java.org.apache.hadoop.fs.Path(folder)
+    settings = spark._jsc.hadoopConfiguration()
+    (file,) = [one.getPath() for one in path.getFileSystem(settings).listStatus(path) if one.getPath().getName().endswith(".orc")]
+    return java.org.apache.orc.OrcFile.createReader(file, java.org.apache.orc.OrcFile.readerOptions(settings)), first
+
+
+def test_orc_integers_are_run_length_encoded(orc_reader):
+    reader, _ = orc_reader
+    footer = reader.rows().readStripeFooter(reader.getStripes()[0])
+    kinds = {name: footer.getColumns(reader.getSchema().findSubtype(name).getId()).getKind().toString() for name in ("part", "doc_id", "ids._elem")}
+    assert set(kinds.values()) == {"DIRECT_V2"}
+    # 20,000 ids in steps of 2 are a handful of runs: without them they would take 8 bytes each.
+    number = reader.getSchema().findSubtype("doc_id").getId()
+    data = [one.getLength() for one in footer.getStreamsList() if one.getColumn() == number and one.getKind().toString() == "DATA"]
+    assert sum(data) < 20_000
+
+
+def test_orc_metadata_prunes_stripes_and_row_groups(spark, orc_reader):
+    reader, first = orc_reader
+    java = spark._jvm.org.apache.hadoop.hive.ql.io.sarg
+    number = reader.getSchema().findSubtype("doc_id").getId()
+    footer = reader.rows().readStripeFooter(reader.getStripes()[0])
+    kinds = {one.getKind().toString() for one in footer.getStreamsList() if one.getColumn() == number}
+    assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
+
+    def rows_read(doc_id):
+        wanted = java.SearchArgumentFactory.newBuilder().startAnd().equals("doc_id", getattr(java, "PredicateLeaf$Type").LONG, doc_id).end().build()
+        rows = reader.rows(reader.options().searchArgument(wanted, spark.sparkContext._gateway.new_array(spark._jvm.java.lang.String, 0)))
+        batch, read = reader.getSchema().createRowBatch(), 0
+        while rows.nextBatch(batch):
+            read += batch.count()
+        return read
+
+    assert rows_read(first + 2 * 7_000) == 1000  # one row group by the row index
+    assert rows_read(first - 10) == 0  # outside of every stripe
+    # Odd ids lie inside the ranges of the row groups: only the Bloom filter tells that they are not there.
+    assert sum(rows_read(first + 2 * at + 1) for at in range(0, 20_000, 500)) <= 3000
+
+
 def test_orc_of_no_rows(spark, no_docs):
     folder = shared_folder(spark, "tokens")
     token_orc.write_tokens(no_docs, folder, FILE, parts=2)
