@@ -17,6 +17,7 @@ payload are all responses; a missing page id is never the largest unless all are
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from hashlib import sha1
@@ -195,9 +196,12 @@ def record_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(columns, kinds, strict=True)], names)
 
 
-def read_bundles(index: DataFrame, folder: str) -> DataFrame:
-    """All records, frame by frame; bundles and their frames are dealt out over the tasks."""
-    frames = index.groupBy("bundle", "frame").count().select("bundle", "frame")
+def read_bundles(index: DataFrame, folder: str, task_bytes: int = 32 << 20) -> DataFrame:
+    """All records, frame by frame. The frames are dealt out over as many tasks as their plain bytes ask for: the index
+    itself is far too small to tell how much work there is."""
+    plain = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, math.ceil(plain / task_bytes))
+    frames = index.groupBy("bundle", "frame").count().select("bundle", "frame").repartition(tasks, "bundle", "frame")
 
     def work(batches):
         store, root = open_folder(folder)

@@ -6,6 +6,7 @@ from collections import Counter
 from hashlib import sha1
 
 from conftest import words
+from pyspark.sql import functions as F
 
 from fleetscope.llm import chat, decontaminate, warc
 from fleetscope.llm.common import shared_folder
@@ -39,6 +40,16 @@ def test_archives_round_trip(spark):
     assert index.agg({"frame": "max"}).first()[0] > 0
 
 
+def test_bundles_are_read_by_many_tasks(spark):
+    pages = spark.createDataFrame([(at, None, f"page {at} " * 200) for at in range(200)], "page_id long, url string, html string").repartition(2)
+    folder = shared_folder(spark, "warc")
+    index = warc.write_bundles(pages, folder, frame_bytes=5000)
+    read = warc.read_bundles(index, folder, task_bytes=50_000)
+    tasks = read.select("page_id", F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+    assert sum(row["count"] for row in tasks) == 200
+    assert len(tasks) >= 4 and max(row["count"] for row in tasks) < 100
+
+
 def test_records_are_fetched_by_frame_and_offset(spark):
     pages = spark.createDataFrame(page_rows(), "page_id long, url string, html string")
     folder = shared_folder(spark, "warc")
