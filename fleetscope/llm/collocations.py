@@ -40,7 +40,7 @@ KINDS[[0x20, 0x09]] = BLANK
 KINDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = APART
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-RUN_BYTES, RUN_GRAMS = 2_000_000, 1_500_000
+RUN_BYTES, RUN_GRAMS = 500_000, 1_000_000
 WITHIN = np.uint64(0xFFFFFF)  # a pointer has 40 bits of the text's digest and 24 of the byte; later bytes share the last
 
 
@@ -290,7 +290,7 @@ def recounted(docs: DataFrame, mixed: DataFrame, sizes: int, least: int, bits: i
     return read_again.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
-def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, bits: int = 64, most_bits: int = 30, bucket_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, bits: int = 64, most_bits: int = 30, bucket_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): lang, size, phrase and n of everything up to ``longest`` words that occurs ``least`` times, and
     lang and n of all words. ``bits`` of a fingerprint are used; fewer make collisions, not other results."""
     spark = docs.sparkSession
@@ -347,6 +347,9 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, first: int
     """The ``first`` phrases of every language: lang, rank, phrase, a, l, r, n and score."""
     phrases, totals = frequent_phrases(docs, longest, least, **options)
     kept = scored(phrases, longest).join(mostly_inside(phrases), ["lang", "phrase"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    ranked = kept.withColumn("rank", rank).where(F.col("rank") <= first)  # tasks limit their own rows before the shuffle
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    # First in parts of a language, then among the firsts of its parts: no task sees all phrases of a language.
+    part = F.pmod(F.xxhash64("phrase"), F.lit(64))
+    heads = kept.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)))
+    ranked = heads.where(F.col("rank") <= first).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= first)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
