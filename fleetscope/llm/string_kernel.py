@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetscope.llm.common import fold, mix
+from fleetscope.llm.common import fold, materialize, mix
 
 PARTS, HELD = 4, 2
 BITS, LONGEST = 16, 4
@@ -100,9 +100,13 @@ def sample(docs: DataFrame, most: int) -> DataFrame:
     """At most ``most`` rows (lang, text): distinct texts by their hash, the languages in turn."""
     hashed = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(fold("doc_id", PARTS) != HELD)
     hashed = hashed.select(F.col("lang").alias("_lang"), F.xxhash64("text").alias("_hash"), F.col("doc_id").alias("_id"))
-    texts = hashed.groupBy("_lang", "_hash").agg(F.min("_id").alias("_id"))
+    texts = materialize(hashed.groupBy("_lang", "_hash").agg(F.min("_id").alias("_id")), "texts")
+    # The smallest hashes are wanted: of a large language only those below a quantile that holds four times as many are ranked.
+    sizes = texts.groupBy("_lang").agg(F.count(F.lit(1)).alias("_count"))
+    low = F.col("_hash") / float(1 << 64) + 0.5 <= 4.0 * most / F.col("_count")
     turn = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash"))
-    drawn = texts.withColumn("_turn", turn).where(F.col("_turn") <= most).orderBy("_turn", "_lang").limit(most)
+    drawn = texts.join(sizes, "_lang").where(low).select("_lang", "_hash", "_id")
+    drawn = drawn.withColumn("_turn", turn).where(F.col("_turn") <= most).orderBy("_turn", "_lang").limit(most)
     named = docs.select(F.col("lang").alias("_lang"), F.xxhash64("text").alias("_hash"), F.col("doc_id").alias("_id"), "text")
     met = named.join(F.broadcast(drawn), (named._lang == drawn._lang) & (named._hash == drawn._hash) & named._id.eqNullSafe(drawn._id))
     return met.select(drawn._turn.alias("turn"), drawn._lang.alias("lang"), drawn._hash.alias("hash"), "text")
