@@ -589,6 +589,68 @@ def library_occurrences(f):
     return occurrences.drop("declared_in")
 
 
+SCOPE_LOOKUP = (
+    "table_of(change, result) AS (VALUES "
+    + ", ".join(f"('{old}|{new}', '{'' if result == '-' else result}')" for old, row in rules.SCOPE_TABLE.items() for new, result in row.items())
+    + "), lookup AS (SELECT map(list(change), list(result)) AS next FROM table_of)"
+)
+
+
+@query(
+    "library_effects",
+    f"""RECURSIVE_{POM_SQL.strip()}, {SCOPE_LOOKUP},
+part_of AS (
+  SELECT s_suppkey, 0 AS step, parent AS child, CAST(NULL AS VARCHAR) AS group_name,
+    CAST(NULL AS VARCHAR) AS library_name, CAST(NULL AS VARCHAR) AS scope FROM owner
+  WHERE parent IS NOT NULL AND parent <> s_suppkey
+  UNION ALL
+  SELECT d.s_suppkey, pos + 1, CAST(CASE WHEN library_name LIKE 'svc-%' THEN replace(library_name, 'svc-', '') END AS BIGINT),
+    group_name, library_name, scope FROM dep d),
+walk(root, child, place, group_name, library_name, scope) AS (
+  SELECT s_suppkey, child, lpad({text('step')}, 6, '0'), group_name, library_name, scope FROM part_of
+  UNION ALL
+  SELECT w.root, p.child, w.place || lpad({text('p.step')}, 6, '0'), p.group_name, p.library_name, p.scope
+  FROM walk w JOIN part_of p ON w.child = p.s_suppkey WHERE w.child IS NOT NULL),
+listed AS (SELECT root, group_name, library_name, list(scope ORDER BY place) AS scopes FROM walk WHERE child IS NULL GROUP BY ALL),
+folded AS (SELECT l.*, list_reduce(scopes, lambda a, x: CASE WHEN a = '' THEN x ELSE coalesce(next[a || '|' || x], a) END, '') AS scope
+  FROM listed l, lookup)
+SELECT {div('root', 10)} AS app_id, 'modules/svc-' || {text('root')} || '/pom.xml' AS path, group_name, library_name, scope
+FROM folded WHERE scope <> ''""",
+)
+def library_effects(f):
+    poms = cut_lineage(pom.read_pom(pom_files(f)))
+    return build.library_effects(poms, pom.pom_dependencies(poms))[0].drop("place")
+
+
+SHARED_LEVELS = 20
+
+
+@query(
+    "shared_parent_libraries",
+    f"""level AS (SELECT unnest(range(0, {SHARED_LEVELS + 1})) AS level), side AS (SELECT unnest(['a', 'b']) AS side)
+SELECT s_suppkey AS app_id, side || {text('level')} || 'z/pom.xml' AS path, library_name, scope FROM supplier, level, side, (VALUES
+  ('lib-' || {text('s_nationkey')}, 'COMPILE', 0, 20), ('tested', 'TEST', 0, 0), ('started', 'RUNTIME', 0, 20), ('given', 'PROVIDED', 0, 0))
+  l(library_name, scope, low, high) WHERE level BETWEEN low AND high""",
+)
+def shared_parent_libraries(f):
+    """Levels of build files that each name both files of the level below: 2**20 ways through 42 files."""
+    suppliers = sql(f, "SELECT s_suppkey AS app_id, s_nationkey FROM supplier")
+    files = suppliers.select("app_id", "s_nationkey", F.explode(F.sequence(F.lit(0), F.lit(SHARED_LEVELS))).alias("level"), F.array(F.lit("a"), F.lit("b")).alias("sides"))
+    files = files.select("*", F.explode("sides").alias("side"), (F.col("level") - 1).cast("string").alias("below"))
+    base = F.array(*[
+        F.struct(name.alias("library_name"), F.lit(scope).alias("scope"))
+        for name, scope in ((F.concat(F.lit("lib-"), "s_nationkey"), "COMPILE"), (F.lit("tested"), "TEST"), (F.lit("started"), "RUNTIME"), (F.lit("given"), "PROVIDED"))
+    ])
+    shared = F.array(F.struct(F.concat(F.lit("b"), "below", F.lit("z")).alias("library_name"), F.lit("COMPILE").alias("scope")))
+    named = files.select(
+        "app_id", F.concat("side", "level", F.lit("z")).alias("artifact_id"), F.when(F.col("level") > 0, F.concat(F.lit("a"), "below", F.lit("z"))).alias("parent_artifact_id"),
+        F.when(F.col("level") > 0, shared).otherwise(base).alias("parts"),
+    ).withColumn("path", F.concat("artifact_id", F.lit("/pom.xml")))
+    named = cut_lineage(named)
+    dependencies = named.select("app_id", "path", F.posexplode("parts").alias("pos", "one")).select("app_id", "path", "pos", F.lit("g").alias("group_name"), "one.library_name", "one.scope")
+    return build.library_effects(named.drop("parts"), dependencies)[0].select("app_id", "path", "library_name", "scope")
+
+
 @query(
     "merge_scopes",
     """
@@ -1008,3 +1070,22 @@ def deep_placeholders(f):
 )
 def circular_placeholders(f):
     return config_ops.resolve_placeholders(sql(f, CIRCLE), ["app_id"])[1].select("pos_order", "value")
+
+
+CHAIN = f"""
+SELECT {div('p_partkey', 1000)} AS app_id, CAST(0 AS INT) AS doc_order, p_partkey AS pos_order, 'k' || {text('p_partkey % 1000')} AS name,
+  CASE WHEN p_partkey % 1000 < 999 THEN {OPEN} || 'k' || {text('p_partkey % 1000 + 1')} || {SHUT} || '-' ELSE p_name END AS value
+FROM part"""
+
+
+@query(
+    "placeholder_chains",
+    f"""f_p AS ({CHAIN}) SELECT pos_order,
+  CASE WHEN last = 999 THEN ending || repeat('-', CAST(999 - pos_order % 1000 AS BIGINT))
+    ELSE {OPEN} || 'k' || {text('last + 1')} || {SHUT} || repeat('-', CAST(last + 1 - pos_order % 1000 AS BIGINT)) END AS value
+  FROM f_p JOIN (SELECT app_id AS app, max(pos_order % 1000) AS last, arg_max(value, pos_order % 1000) AS ending FROM f_p GROUP BY app_id) ends
+    ON app = app_id""",
+)
+def placeholder_chains(f):
+    """Chains of a thousand references; a chain that breaks off keeps the name that nobody defines."""
+    return config_ops.resolve_placeholders(sql(f, CHAIN), ["app_id"])[0].select("pos_order", "value")

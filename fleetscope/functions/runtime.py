@@ -41,3 +41,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder, so that lost executors cost no earlier work."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A table in the shared folder in place of ``df``.
+
+    Like a checkpoint, but nothing of the old plan is left: a checkpoint keeps what the optimizer knew of its columns, and
+    in a loop that joins its own results this grows until planning takes longer than the work.
+    """
+    folder = new_folder(df.sparkSession, "round")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

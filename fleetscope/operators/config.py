@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope import rules
+from fleetscope.functions.graph import connected, ending_nodes
 from fleetscope.functions.matching import join_contains
-from fleetscope.functions.runtime import cut_lineage
+from fleetscope.functions.runtime import cut_lineage, written
 from fleetscope.sources import config
 from fleetscope.sources.files import directory, exclude_test_sources, file_name
 
@@ -86,65 +87,63 @@ def _filled(text: str, found: str) -> Column:
 
 
 def _named_texts(asking: DataFrame, properties: DataFrame, keys: list[str]) -> DataFrame:
-    """(document, ref, text) for every name that a value of the document reaches through other values."""
+    """(document, ref, text) for every name that a value of the document may reach through other values.
+
+    Names of a module that refer to each other form a group. A document that asks for a name gets the texts of its whole
+    group at once, so nothing is followed step by step; most names refer to nothing and are a group of their own.
+    """
     document = [*keys, "doc_order"]
-    wanted = properties.select(*keys, F.explode(_references("value")).alias("ref")).distinct()
-    named = cut_lineage(properties.withColumnRenamed("name", "ref").join(wanted, [*keys, "ref"], "left_semi"))
-    near = cut_lineage(named.groupBy(*document, "ref").agg(F.min_by("value", "pos_order").alias("near")))
-    far = cut_lineage(named.groupBy(*keys, "ref").agg(F.min_by("value", F.struct("doc_order", "pos_order")).alias("far")))
-    frontier = cut_lineage(asking.select(*document, F.explode(_references("value")).alias("ref")).distinct())
-    asked, found = frontier, None
-    while not frontier.isEmpty():
-        texts = frontier.join(near, [*document, "ref"], "left").join(far, [*keys, "ref"], "left")
-        level = cut_lineage(texts.select(*document, "ref", F.coalesce("near", "far").alias("text")).where("text IS NOT NULL"))
-        found = level if found is None else found.unionByName(level)
-        further = level.select(*document, F.explode(_references("text")).alias("ref")).distinct()
-        frontier = cut_lineage(further.join(asked, [*document, "ref"], "left_anti"))
-        asked = asked.unionByName(frontier)
-    return found if found is not None else frontier.withColumn("text", F.lit(""))
+    wanted = written(properties.select(*keys, F.explode(_references("value")).alias("ref")).distinct())
+    named = written(properties.withColumnRenamed("name", "ref").join(wanted, [*keys, "ref"], "left_semi"))
+    links = named.select(*keys, F.col("ref").alias("node"), F.explode(_references("value")).alias("to")).distinct()
+    groups = connected(links, keys).withColumnRenamed("node", "ref")
+    near = named.groupBy(*document, "ref").agg(F.min_by("value", "pos_order").alias("near"))
+    far = named.groupBy(*keys, "ref").agg(F.min_by("value", F.struct("doc_order", "pos_order")).alias("far"))
+    asked = asking.select(*document, F.explode(_references("value")).alias("ref")).distinct()
+    inside = asked.join(groups, [*keys, "ref"]).select(*document, "group").distinct()
+    reached = written(asked.unionByName(inside.join(groups, [*keys, "group"]).select(*document, "ref")).distinct())
+    texts = reached.join(near, [*document, "ref"], "left").join(far, [*keys, "ref"], "left")
+    return texts.select(*document, "ref", F.coalesce("near", "far").alias("text")).where("text IS NOT NULL")
 
 
 def _settled_texts(texts: DataFrame, document: list[str]) -> DataFrame:
-    """The texts whose references all lead to an end, filled in. What is left out runs into a circle."""
+    """The texts whose references all lead to an end, filled in. What is left out runs into a circle.
+
+    Every round fills the references of a text with what the texts that they name are so far: a text reaches twice as deep
+    after it, and ``edges`` lead twice as far. Without circles they come to an end.
+    """
     node = [*document, "ref"]
-    ends = texts.select(*document, F.col("ref").alias("to"))
-    edges = cut_lineage(
-        texts.select(*node, F.explode(_references("text")).alias("to")).join(ends, [*document, "to"], "left_semi")
-    )
-    done = cut_lineage(texts.join(edges, node, "left_anti"))
-    waiting = cut_lineage(texts.join(edges.groupBy(*node).agg(F.count("*").alias("needs")), node))
-    while not waiting.isEmpty():
-        known = done.select(*document, F.col("ref").alias("to"), F.col("text").alias("filled"))
-        met = (
-            edges.join(known, [*document, "to"])
-            .groupBy(*node)
-            .agg(F.collect_list(F.struct(F.col("to").alias("ref"), F.col("filled").alias("text"))).alias("found"))
-        )
-        ready = cut_lineage(
-            waiting.join(met, node).where(F.size("found") == F.col("needs")).select(*node, _filled("text", "found").alias("text"))
-        )
-        if ready.isEmpty():
-            break
-        done = done.unionByName(ready)
-        waiting = cut_lineage(waiting.join(ready, node, "left_anti"))
-        edges = edges.join(waiting, node, "left_semi")
-    return done
+    known = texts.select(*document, F.col("ref").alias("to"))
+    edges = written(texts.select(*node, F.explode(_references("text")).alias("to")).join(known, [*document, "to"], "left_semi"))
+    _, endless = ending_nodes(edges.withColumnRenamed("ref", "node"), document)
+    endless = endless.withColumnRenamed("node", "ref")
+    now, edges = written(texts.join(endless, node, "left_anti")), written(edges.join(endless, node, "left_anti"))
+    while not edges.isEmpty():
+        filling = now.select(*document, F.col("ref").alias("to"), F.col("text").alias("filled"))
+        # The references of one text: bounded by the text itself.
+        one = F.struct(F.col("to").alias("ref"), F.col("filled").alias("text"))
+        found = edges.join(filling, [*document, "to"]).groupBy(*node).agg(F.collect_list(one).alias("found"))
+        text = F.when(F.col("found").isNull(), F.col("text")).otherwise(_filled("text", "found"))
+        now = written(now.join(found, node, "left").select(*node, text.alias("text")))
+        further = edges.select(*document, F.col("ref").alias("to"), F.col("to").alias("further"))
+        edges = written(edges.join(further, [*document, "to"]).select(*node, F.col("further").alias("to")).distinct())
+    return now
 
 
 def resolve_placeholders(properties: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """``${name}`` -> value of that property: first of the same document, else first of the module.
 
     ``properties`` has ``keys``, doc_order, pos_order, name and value; (keys, doc_order, pos_order) is unique. Returns
-    (properties, rejected). Names are followed as deep as they lead, one round for each level of nesting and only over
-    names that are referred to. Values that lead into a circle are rejected and stay as they were; names that nobody
+    (properties, rejected). Names are followed as deep as they lead, in rounds that grow with the logarithm of the depth, and
+    only over names that are referred to. Values that lead into a circle are rejected and stay as they were; names that nobody
     defines stay in the text.
     """
     document = [*keys, "doc_order"]
     row = [*document, "pos_order"]
-    properties = cut_lineage(properties)
+    properties = written(properties)
     asking = properties.where(F.col("value").rlike(_REFERENCE)).select(*row, "value")
-    texts = cut_lineage(_named_texts(asking, properties, keys))
-    settled = cut_lineage(_settled_texts(texts, document))
+    texts = written(_named_texts(asking, properties, keys))
+    settled = written(_settled_texts(texts, document))
     references = asking.select(*row, F.explode(_references("value")).alias("ref"))
     answers = (
         references.join(texts.select(*document, "ref", F.lit(True).alias("known")), [*document, "ref"])
@@ -153,7 +152,7 @@ def resolve_placeholders(properties: DataFrame, keys: list[str]) -> tuple[DataFr
         # The references of one value: bounded by the value itself.
         .agg(F.bool_or(F.col("text").isNull()).alias("circular"), F.collect_list(F.struct("ref", "text")).alias("found"))
     )
-    answers = cut_lineage(answers)
+    answers = written(answers)
     out = properties.join(answers.where(~F.col("circular")), row, "left")
     out = out.withColumn("value", F.when(F.col("found").isNotNull(), _filled("value", "found")).otherwise(F.col("value")))
     return out.select(*properties.columns), properties.join(answers.where("circular").select(*row), row, "left_semi")

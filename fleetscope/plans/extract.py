@@ -186,15 +186,13 @@ def extract(
     modules = cut_lineage(
         build.module_names(found.select("app_id", "directory"), poms).withColumnRenamed("build_file", "artifact")
     )
-    occurrences, deep = build.library_occurrences(poms, pom_dependencies(poms))
-    owned = occurrences.join(
+    every_library, deep = build.library_effects(poms, pom_dependencies(poms))
+    owned = every_library.join(
         modules.select("app_id", F.col("artifact").alias("path"), F.col("artifact_id").alias("project")), ["app_id", "path"]
     )
     # Ranks the distinct libraries of one module.
     in_order = Window.partitionBy("app_id", "project").orderBy("place", "group_name", "library_name")
-    libraries = build.merge_scopes(
-        owned, ["app_id", "project"], "place", block=F.substring("place", 1, 6)
-    ).select(
+    libraries = owned.select(
         "app_id", F.row_number().over(in_order).cast("long").alias("seq"), "project", F.lit("pom.xml").alias("artifact"), "group_name", "library_name", "scope"
     )
     keys = modules.select("app_id", F.col("artifact_id").alias("module"))
