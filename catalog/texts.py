@@ -942,6 +942,56 @@ def java_nested_members(f):
     return reduce(DataFrame.unionByName, rows)
 
 
+FORM_FILE = f"""
+SELECT {div('s_suppkey', 10)} AS app_id, 'svc-' || {text('s_suppkey')} AS project, 'F' || {text('s_suppkey')} || '.java' AS path,
+  'class F' || {text('s_suppkey')} || ' {{ @Operation(summary = "please get it") @GetMapping("/x' || {text('s_suppkey')} || '") public X get() {{ '
+  || 'two(rest.exchange(' || repeat('u(', CAST(s_suppkey % 9 + 1 AS INT)) || '1' || repeat(')', CAST(s_suppkey % 9 + 1 AS INT))
+  || ', HttpMethod.GET), new Map<String, List<Item>>(), "a,(b"); }} public Foo' || chr(10) || chr(9) || 'bar(@RequestBody @Size(max = 3) Item i, int a' || s_nationkey
+  || '[], final List<Map<String, A>> all[][]) throws E {{ run(x -> {{ one(i, "p"); two(i); }}, int[].class); }} record R(int x) {{ }} }}' AS content
+FROM supplier"""
+
+
+@query(
+    "java_member_forms",
+    f"""n AS (SELECT {div('s_suppkey', 10)} AS app_id, {text('s_suppkey')} AS k, {text('s_nationkey')} AS nation FROM supplier)
+SELECT app_id, 'method' AS kind, 'get' AS name, 'X' AS detail FROM n
+UNION ALL SELECT app_id, 'method', 'bar', 'Foo' FROM n
+UNION ALL SELECT app_id, 'annotation', 'get', 'Operation("please get it")' FROM n
+UNION ALL SELECT app_id, 'annotation', 'get', 'GetMapping("/x' || k || '")' FROM n
+UNION ALL SELECT app_id, 'of parameter', 'i', 'RequestBody' FROM n
+UNION ALL SELECT app_id, 'of parameter', 'i', 'Size' FROM n
+UNION ALL SELECT app_id, 'parameter', 'i', 'Item' FROM n
+UNION ALL SELECT app_id, 'parameter', 'a' || nation, 'int[]' FROM n
+UNION ALL SELECT app_id, 'parameter', 'all', 'List<Map<String,A>>[][]' FROM n
+UNION ALL SELECT app_id, 'argument', callee || arg_order, shown FROM n, (VALUES ('exchange', '1', 'HttpMethod.GET'), ('two', '1', '"a,(b"'),
+  ('one', '1', 'i'), ('one', '2', '"p"'), ('two', '1', 'i')) a(callee, arg_order, shown)
+UNION ALL SELECT app_id, 'argument', callee || '1', '1' FROM n, (VALUES ('u')) a(callee)""",
+)
+def java_member_forms(f):
+    """Names inside of annotations, declarations over several lines, records, square brackets behind names, calls in calls."""
+    segments = cut_lineage(java.source_segments(sql(f, FORM_FILE)))
+    types = java.java_types(segments)
+    members = cut_lineage(java.java_members(segments, types))
+    methods = java.java_methods(members)
+    params = java.method_params(methods)
+    notes = java.method_annotations(methods)
+    calls = java.java_invocations(segments, methods)
+    args = java.invocation_args(calls, java.java_locals(segments, types), java.java_fields(members))
+    called = args.join(calls.select(*java.KEYS, "type_no", "member_no", "no", "at", "callee"), [*java.KEYS, "type_no", "member_no", "no", "at"])
+    note = F.concat("annotation_name", F.lit("("), F.regexp_extract("body", '("[^"]*")', 1), F.lit(")"))
+    shown = F.when(F.col("arg_name") != "NOT_AVAILABLE", F.col("arg_name")).otherwise(F.col("arg_value"))
+    parts = (
+        ("method", methods, F.col("method_name"), F.col("return_type")),
+        ("annotation", notes, F.col("method_name"), note),
+        ("of parameter", java.param_annotations(params).join(params.select(*java.KEYS, "member_no", "param_order", "param_name"), [*java.KEYS, "member_no", "param_order"]),
+         F.col("param_name"), F.col("annotation_name")),
+        ("parameter", params, F.col("param_name"), F.col("type_name")),
+        ("argument", called, F.concat("callee", "arg_order"), shown),
+    )
+    rows = [df.select("app_id", F.lit(kind).alias("kind"), name.alias("name"), detail.alias("detail")) for kind, df, name, detail in parts]
+    return reduce(DataFrame.unionByName, rows)
+
+
 # --- model files ------------------------------------------------------------------------------
 
 MODEL = f"""
