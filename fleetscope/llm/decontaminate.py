@@ -8,6 +8,9 @@ all items at once, in time linear in the text.
 The benchmark is a stated query set: its words are counted first, and items are dealt into blocks of about
 ``block_words`` words. Each block has its own automaton of bounded size, broadcast, and texts pass all blocks in turn.
 
+Between two blocks the texts found so far are written to the shared folder and the automaton is given up, so one automaton at
+a time is held by the driver and the executors.
+
 Edge cases: missing texts have no words. Items without id or without words are no items; rows that repeat an item id
 count as one item with several texts. Without items nothing is hit. Repeated documents get equal rows; a benchmark
 of any size works, with one more pass over the texts for each block.
@@ -24,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from fleetscope.llm.common import materialize
+
 WINDOW = 13
 WORD_BYTES = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 LOWER = bytes(
@@ -174,8 +179,13 @@ def mark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     place, names = docs.columns.index("text"), docs.columns
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(FOUND).fields])
     marked = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast(schema["spans"].dataType).alias("spans"), F.array().cast("array<string>").alias("items"))
+    shared = None
     for automaton in item_blocks(benchmark, window, block_words):
-        marked = marked.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(automaton), place, names), schema)
+        if shared:
+            marked = materialize(marked, "hits")
+            shared.destroy()
+        shared = docs.sparkSession.sparkContext.broadcast(automaton)
+        marked = marked.mapInArrow(_matcher(shared, place, names), schema)
     return marked
 
 
@@ -241,3 +251,11 @@ def remove_hits(marked: DataFrame, share: int = 20) -> DataFrame:
     if "n_chars" not in names:
         return changed
     return changed.withColumn("n_chars", F.length("text").cast(kept.schema["n_chars"].dataType))
+
+
+def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
+    """``mark_hits`` and ``remove_hits`` in one; columns of ``docs`` that bear the names they work with stay as they are."""
+    used = StructType.fromDDL(FOUND).fieldNames()
+    own = {name: f"_own_{name}" for name in docs.columns if name.lower() in used}
+    kept = remove_hits(mark_hits(docs.withColumnsRenamed(own), benchmark, window), share)
+    return kept.withColumnsRenamed({set_aside: name for name, set_aside in own.items()})

@@ -55,3 +55,33 @@ def test_stages(spark, folder):
 def test_run_gives_the_last_stage(spark, folder):
     out = corpus_pipeline.run(spark, folder[0])
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and out.count() > 70
+
+
+def test_odd_rows_and_columns(spark, folder, tmp_path):
+    root, texts, item = folder
+    rows = [(at, text, at * 3, [f"i{at}"], "mine", "spans") for at, text in texts.items()]
+    # A repeated row, an unrelated text and a near copy under an id in use, no text, no id.
+    rows += [rows[1], (1, texts[7], 5, None, None, None), (2, texts[8] + " more", 6, None, None, None), (300, "", 0, [], "", ""), (None, texts[10], 1, [], "x", "y"), (None, None, None, None, None, None)]
+    names = "doc_id long, text string, n_words long, items array<string>, decoded string, Spans string"
+    docs = spark.createDataFrame(rows, names)
+    for name in ("labels", "benchmark"):
+        corpus_pipeline.table(spark, root, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    given = {(row.doc_id, row.n_words, row.decoded, row.Spans) for row in docs.collect()}
+    kept = corpus_pipeline.table(spark, str(tmp_path), "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.materialize(stage(spark, kept, str(tmp_path)), name)
+        assert kept.columns == docs.columns
+        assert {(row.doc_id, row.n_words, row.decoded, row.Spans) for row in kept.collect()} <= given
+    ids = [row.doc_id for row in kept.collect()]
+    # The rows of 1 and 2 with the texts of 7 and 8 stand for those classes, since theirs are the smaller ids.
+    assert ids.count(1) == ids.count(2) == 2 and not {7, 8, 200, 201, 202} & set(ids)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(out) == len(ids) and all(row.n_tokens == 0 for row in out if row.doc_id == 300)
+
+
+def test_no_documents(spark, folder, tmp_path):
+    for name in ("labels", "benchmark", "documents"):
+        rows = corpus_pipeline.table(spark, folder[0], name)
+        (rows.limit(0) if name == "documents" else rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
