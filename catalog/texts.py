@@ -15,7 +15,7 @@ from fleetscope.functions.runtime import cut_lineage
 from fleetscope.operators import build, config as config_ops, deploy
 from fleetscope.plans.extract import extract
 from fleetscope.sources import config, export, files as file_ops, java, model_file, pom
-from fleetscope.sources.compose import read_compose, read_dockerfiles
+from fleetscope.sources.compose import compose_entries, read_compose, read_dockerfiles, rejected_services, services_of
 
 
 def sql(f, statement: str):
@@ -458,6 +458,45 @@ def container_links(f):
     return deploy.container_links(read_compose(compose_files(f))).drop("ord")
 
 
+# A base and an image by anchor, merge keys (one and several, also of a service that merges itself), an alias as a service,
+# flow maps in both writings, and two services that are rejected.
+_FORM_LINES = (
+    "'x-base: &base'", f"'  image: base:' || {text('s_nationkey')}", "'  logging: {driver: json}'", "'  ports:'",
+    f"'    - \"' || {text('s_suppkey')} || ':1\"'", "'x-other: &other {image: other, ports: [\"9:9\"]}'", f"'x-image: &img redis:' || {text('s_suppkey')}", "'services:'",
+    "'  a:'", "'    <<: *base'", "'    expose: [7]'",
+    f"'  b: {{image: flow, build: {{context: ./b}}, ports: [\"80:' || {text('s_nationkey')} || '\", 90], depends_on: [a, ''c'']}}'",
+    f"'  c: {{\"image\":\"json:' || {text('s_suppkey')} || '\",\"links\":[\"a\"]}}'", "'  d:'", "'    image: *img'", "'  e: &e'",
+    "'    image: own'", "'    <<: *base'", "'    ports: [\"5:5\"]'", "'  f: {<<: *e, image: late}'", "'  g: *e'", "'  k: {<<: [*other, *base]}'", "'  h:'",
+    "'    image: *lost'", "'    ports: [1]'", "'  i: {image: x,'", "'    build: y}'",
+)
+FORM_COMPOSE = f"""
+SELECT s_suppkey AS app_id, 'compose.yaml' AS path, {" || chr(10) || ".join(_FORM_LINES)} AS content FROM supplier"""
+
+
+@query(
+    "compose_forms",
+    f"""s AS (SELECT s_suppkey AS app_id, {text('s_nationkey')} AS nation, {text('s_suppkey')} AS k FROM supplier)
+SELECT app_id, container, kind, CAST(replace(replace(shown, '#', nation), '@', k) AS VARCHAR) AS shown FROM s, (VALUES
+  ('a', 'image', 'base:#'), ('b', 'image', 'flow'), ('c', 'image', 'json:@'), ('d', 'image', 'redis:@'), ('e', 'image', 'own'),
+  ('f', 'image', 'late'), ('g', 'image', 'own'), ('k', 'image', 'other'), ('k', 'logs', 'true'), ('k', 'port', '9:9'), ('h', 'image', '*lost'), ('b', 'build', './b'), ('a', 'logs', 'true'), ('e', 'logs', 'true'),
+  ('f', 'logs', 'true'), ('g', 'logs', 'true'), ('a', 'port', '@:1'), ('a', 'port', '7'), ('b', 'port', '80:#'), ('b', 'port', '90'),
+  ('e', 'port', '5:5'), ('f', 'port', '5:5'), ('g', 'port', '5:5'), ('h', 'port', '1'), ('b', 'link', 'a'), ('b', 'link', 'c'), ('c', 'link', 'a'),
+  ('h', 'rejected', 'alias without anchor'), ('i', 'rejected', 'flow map over several lines')) v(container, kind, shown)""",
+)
+def compose_forms(f):
+    """Containers, ports, links and rejects of compose files with anchors, merge keys and flow maps."""
+    entries = cut_lineage(compose_entries(sql(f, FORM_COMPOSE)))
+    rows = services_of(entries)
+    merged = deploy.merge_containers(rows)
+    parts = (
+        ("image", merged, F.col("image")), ("build", merged.where("build <> ''"), F.col("build")),
+        ("logs", merged.where("generates_logs"), F.lit("true")), ("port", deploy.container_ports(rows), F.col("port")),
+        ("link", deploy.container_links(rows), F.col("target")), ("rejected", rejected_services(entries), F.col("reason")),
+    )
+    shown = [df.select("app_id", "container", F.lit(kind).alias("kind"), value.alias("shown")) for kind, df, value in parts]
+    return reduce(DataFrame.unionByName, shown)
+
+
 DOCKERFILE = f"""
 SELECT {div('s_suppkey', 10)} AS app_id, 'src/services/svc-' || {text('s_suppkey')} || '/' || sub || 'Dockerfile' AS path,
   'FROM sdk:' || {text('s_nationkey')} || ' AS build' || chr(10) || 'RUN x' || chr(10) || 'EXPOSE ' || {text('s_suppkey % 90')}

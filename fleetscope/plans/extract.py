@@ -16,7 +16,7 @@ from fleetscope.functions.runtime import cut_lineage
 from fleetscope.operators import build, config, deploy
 from fleetscope.schema import Facts
 from fleetscope.sources import java
-from fleetscope.sources.compose import read_compose, read_dockerfiles
+from fleetscope.sources.compose import compose_entries, read_dockerfiles, rejected_services, services_of
 from fleetscope.sources.files import CONFIG_NAMES, compose_candidates, directory, discover_modules, scan_artifacts, validate_app_inputs
 from fleetscope.sources.pom import pom_dependencies, read_pom
 
@@ -159,7 +159,8 @@ def extract(
     spark = files.sparkSession
     named = apps.select("app_id", F.col("app_name").alias("project"))
     chosen = compose_candidates(files) if compose_files is None else files.join(compose_files, ["app_id", "path"], "left_semi")
-    compose = cut_lineage(read_compose(chosen))
+    entries = cut_lineage(compose_entries(chosen))
+    compose = services_of(entries)
     merged, file_ports = deploy.dockerfile_overlay(deploy.merge_containers(compose), read_dockerfiles(files))
     merged = cut_lineage(merged)
     containers = merged.join(named, "app_id").select(
@@ -231,6 +232,7 @@ def extract(
     return facts, {
         "applications": validate_app_inputs(inputs).where(F.size("reasons") > 0).select("app_id", "reasons"),
         "build_files": deep,
+        "compose_services": rejected_services(entries),
         "compose_files": chosen.select("app_id", "path").join(compose.select("app_id", "path"), ["app_id", "path"], "left_anti"),
         "java_files": unread,
         "java_members": odd_members,
