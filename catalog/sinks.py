@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.derivation import ANNOTATION_COMPONENTS, CONTAINER_COMPONENTS, CONTAINER_ENDPOINTS, INFRA_IMAGE
+from catalog.facts import FACT_SQL
 from catalog.registry import query
 from fleetscope import rules
 from fleetscope.operators import components, dependencies, endpoints, services
 from fleetscope.functions.runtime import new_folder
-from fleetscope.schema import Facts, fact_schema
+from fleetscope.schema import FACT_SCHEMAS, Facts, fact_schema
 from fleetscope.sources import export
 
 
@@ -74,10 +78,26 @@ def architecture_lines(f):
     return lines.groupBy("app_id", "line").agg(F.count("*").alias("hits"))
 
 
-@query("write_facts", "SELECT * FROM f_library", ("library",))
+# Every table as (app_id, fact, row): the columns in the order of the schema, a mark for what is missing.
+_COLUMNS = {name: ["app_id", *[column.split()[0] for column in FACT_SCHEMAS[name].split(", ")]] for name in FACT_SQL}
+_FACT_ROWS = " UNION ALL ".join(
+    f"SELECT app_id, '{name}' AS fact, concat_ws('|', {', '.join(f"coalesce(CAST({column} AS VARCHAR), '-')" for column in columns)}) AS row FROM f_{name}"
+    for name, columns in _COLUMNS.items()
+)
+
+
+@query("write_facts", _FACT_ROWS, tuple(FACT_SQL))
 def write_facts(f):
-    """Library facts written in buckets of applications and read again."""
+    """All fact tables written in buckets of applications and read again."""
     spark = f._spark
     folder = new_folder(spark, "facts")
-    export.write_facts(Facts.of(spark, {"library": f.library}, "bigint"), folder)
-    return export.read_facts(spark, folder, "bigint").library
+    export.write_facts(Facts.of(spark, {name: getattr(f, name) for name in FACT_SQL}, "bigint"), folder)
+    stored = export.read_facts(spark, folder, "bigint").tables()
+    parts = [
+        stored[name].select(
+            "app_id", F.lit(name).alias("fact"),
+            F.concat_ws("|", *[F.coalesce(F.col(column).cast("string"), F.lit("-")) for column in columns]).alias("row"),
+        )
+        for name, columns in _COLUMNS.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscope import rules
-from fleetscope.schema import FACT_SCHEMAS, Facts
+from fleetscope.schema import FACT_SCHEMAS, Facts, fact_schema
 
 APP_FILES = "app_id"
 BUCKET = "bucket"
@@ -38,7 +38,12 @@ def write_tables(
 
 
 def write_facts(facts: Facts, folder: str, by_app: bool = False, buckets: int = 64) -> None:
-    write_tables(facts.tables(), folder, by_app, buckets)
+    """Every fact table, with the columns and types of its schema whatever expressions it came from."""
+    tables = facts.tables()
+    for name, df in tables.items():
+        columns = fact_schema(name, df.schema["app_id"].dataType.simpleString()).fields
+        tables[name] = df.select(*[F.col(column.name).cast(column.dataType) for column in columns])
+    write_tables(tables, folder, by_app, buckets)
 
 
 def read_facts(spark: SparkSession, folder: str, app_type: str = "string") -> Facts:
