@@ -14,6 +14,7 @@ from fleetscope import rules
 from fleetscope.functions.runtime import cut_lineage
 from fleetscope.operators import build, config as config_ops, deploy
 from fleetscope.plans.extract import extract
+from fleetscope.schema import fact_schema
 from fleetscope.sources import config, export, files as file_ops, java, model_file, pom
 from fleetscope.sources.compose import compose_entries, read_compose, read_dockerfiles, rejected_services, services_of
 
@@ -1068,6 +1069,67 @@ def read_model_files(f):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+# {k} and {n} stand for the numbers of a supplier and its nation, in the model and in what has to come out of it.
+_JAVA_MODEL = (
+    '<application xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" ApplicationName="app-{k}" ProjectPackageURL="http://p/{n}">'
+    '<application_project ProjectArtifactId="p"><modules ParentProjectName="p" ArtifactFileName="pom.xml" ProjectArtifactId="m" xsi:type="PSM:SpringMVCProject">'
+    '<libraries ParentProjectName="m" LibraryGroupName="g" LibraryName="lib-{n}" LibraryScope="test"/><layers>'
+    '<elements xsi:type="PSM:JavaClassType" ElementIdentifier="Ctrl{k}" PackageName="com.x" ArtifactFileName="C.java">'
+    '<annotations AnnotationName="RestController"><parameters ParameterValue="/k{k}"/></annotations>'
+    '<methods ElementIdentifier="get{k}()"><annotations AnnotationName="GetMapping"><parameters ParameterName="path" ParameterValue="/n{n}"/></annotations>'
+    '<parameters ElementIdentifier="id"><annotations AnnotationName="PathVariable"/><type ElementIdentifier="Long"/></parameters>'
+    '<returns ElementIdentifier="Item" PackageName="com.x" JsonSchema="s{n}"/>'
+    '<invokes ElementIdentifier="find()"><parent ElementIdentifier="Repo" PackageName="com.r"/><parameters ElementIdentifier="id"/>'
+    '<parameters ParameterOrder="2" FieldValue="{n}"/></invokes></methods>'
+    '<methods ElementIdentifier="put" ElementProfile="test"><parameters ElementIdentifier="body" ParameterOrder="2"/><invokes RootCallingMethod="all()" ElementIdentifier="save"/></methods>'
+    '<extends ElementIdentifier="Base"/><imports ElementIdentifier="List" PackageName="java.util"/><implements ElementIdentifier="Api" PackageName="com.x"/>'
+    '</elements><elements xsi:type="PSM:JavaInterfaceType" ElementIdentifier="Api" ElementProfile="test"/></layers></modules></application_project>'
+    '<containers ContainerName="c"><ports ExposesPortsField="80:{n}"/></containers></application>'
+)
+_JAVA_FACTS = {
+    "application": ("app-{k}|http://p/{n}",),
+    "app_project": ("-|-|p",),
+    "container": ("-|-|c|||false",),
+    "container_port": ("-|-|c|80:{n}",),
+    "module": ("p|pom.xml|m|SpringMVC",),
+    "library": ("m|-|g|lib-{n}|test",),
+    "java_type": ("m|C.java|0#0#0|Ctrl{k}|com.x|Class|COMPILE|", "m||0#0#1|Api|java.lang|Interface|test|"),
+    "java_supertype": (
+        "m|C.java|0#0#0|extends|Base|java.lang|COMPILE", "m|C.java|0#0#0|implements|Api|com.x|COMPILE", "m|C.java|0#0#0|imports|List|java.util|COMPILE",
+    ),
+    "java_annotation": (
+        "m|C.java|type|0#0#0|type@0#0#0@0|RestController|COMPILE", "m|C.java|method|0#0#0#0|method@0#0#0#0@0|GetMapping|COMPILE",
+        "m|C.java|parameter|0#0#0#0#1|parameter@0#0#0#0#1@0|PathVariable|COMPILE",
+    ),
+    "annotation_param": ("type@0#0#0@0|value|/k{k}", "method@0#0#0#0@0|path|/n{n}"),
+    "java_method": ("m|C.java|0#0#0|0#0#0#0|get{k}|Item|com.x|s{n}|COMPILE", "m|C.java|0#0#0|0#0#0#1|put|-|-|-|test"),
+    "method_param": ("0#0#0#0|0#0#0#0#1|1|id|Long|java.lang|", "0#0#0#1|0#0#0#1#1|2|body|-|-|-"),
+    "java_invocation": ("m|C.java|0#0#0#0|0#0#0#0#0|get{k}()|find|Repo|com.r|COMPILE", "m|C.java|0#0#0#1|0#0#0#1#0|all()|save|-|-|test"),
+    "invocation_arg": ("0#0#0#0#0|1|id|NOT_APPLICABLE", "0#0#0#0#0|2|NOT_AVAILABLE|{n}"),
+}
+
+
+def _of_supplier(template: str) -> str:
+    return f"replace(replace({template}, '{{k}}', {text('s_suppkey')}), '{{n}}', {text('s_nationkey')})"
+
+
+@query(
+    "read_model_java",
+    f"""v(fact, made) AS (VALUES {", ".join(f"('{fact}', '{made}')" for fact, rows in _JAVA_FACTS.items() for made in rows)})
+SELECT 'app-' || {text('s_suppkey')} AS app_id, fact, {_of_supplier('made')} AS row FROM supplier, v""",
+)
+def read_model_java(f):
+    """Every fact of model files with Java elements, without the positions that only order them."""
+    texts = sql(f, "SELECT " + _of_supplier("'" + _JAVA_MODEL + "'") + " AS content FROM supplier")
+    tables = model_file.model_facts(f._spark, cut_lineage(model_file.parse_model_texts(texts))).tables()
+    parts = []
+    for fact, df in tables.items():
+        columns = [name for name in fact_schema(fact).names if name not in ("app_id", "seq")]
+        row = F.concat_ws("|", *[F.coalesce(F.col(name).cast("string"), F.lit("-")) for name in columns])
+        parts.append(df.select("app_id", F.lit(fact).alias("fact"), row.alias("row")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- whole extraction -------------------------------------------------------------------------
 
 _LIBRARY = f"'lib-' || {text('s_nationkey')}"
