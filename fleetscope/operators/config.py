@@ -15,8 +15,12 @@ from fleetscope.sources import config
 from fleetscope.sources.files import directory, exclude_test_sources, file_name
 
 MODULE = ["app_id", "module"]
-_DEFAULTED = r"\$\{(\w[\w.+]*):(\w[:\w+]*)\}"
-_REFERENCE = r"\$\{(\w[\w.+\[\-]*)\}"
+# Which texts count as names and defaults; other placeholders stay as they are. A name is dotted; one without
+# default may also have dashes and an opened index. A default has no dots, dashes or slashes. The plus sign belongs to each,
+# so that values with it resolve as they always have.
+_NAME, _DEFAULT, _BARE_NAME = r"\w[\w.+]*", r"\w[:\w+]*", r"\w[\w.+\[\-]*"
+_DEFAULTED = rf"\$\{{({_NAME}):({_DEFAULT})\}}"
+_REFERENCE = rf"\$\{{({_BARE_NAME})\}}"
 MODULE_PHASES = ((0, "application"), (1, "bootstrap"))
 CENTRAL_PHASES = ((2, "application"),)
 NAMED_PHASE = 3

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.functions.matching import join_contains
@@ -78,14 +78,23 @@ def container_links(compose_rows: DataFrame) -> DataFrame:
     return links.withColumn("dep_order", F.row_number().over(order))
 
 
+def build_place(build: Column) -> Column:
+    """What the directory of the Dockerfile has to contain: the build path without the steps in front of its first name.
+
+    ``./``, ``../`` and stars of a path pattern are such steps, and slashes at the end say nothing. A path of steps alone keeps
+    its last character: ``.`` is found in directories with a dot, ``./`` in none.
+    """
+    named = F.ltrim(build, F.lit("./*"))
+    return F.rtrim(F.when(named != "", named).otherwise(F.right(build, F.lit(1))), F.lit("/"))
+
+
 def dockerfile_overlay(containers: DataFrame, dockerfile_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Containers whose image is the last FROM of their Dockerfile, and the ports it exposes.
 
     The Dockerfile is the first one whose directory contains the build path without leading dots and
     slashes and without trailing slashes.
     """
-    place = F.regexp_replace(F.regexp_extract("build", r"[.*./]*(.+)", 1), "/+$", "")
-    placed = containers.withColumn("place", place)
+    placed = containers.withColumn("place", build_place(F.col("build")))
     places = placed.where(F.col("place") != "").select("app_id", "place").distinct()
     directories = dockerfile_rows.select("app_id", "path", "directory").distinct()
     chosen = (
