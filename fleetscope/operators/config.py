@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetscope import rules
 from fleetscope.functions.graph import connected, ending_nodes
 from fleetscope.functions.matching import join_contains
-from fleetscope.functions.runtime import cut_lineage, written
+from fleetscope.functions.runtime import cut_lineage, shuffled, written
 from fleetscope.sources import config
 from fleetscope.sources.files import directory, exclude_test_sources, file_name
 
@@ -98,15 +98,15 @@ def _named_texts(asking: DataFrame, properties: DataFrame, keys: list[str]) -> D
     """
     document = [*keys, "doc_order"]
     wanted = written(properties.select(*keys, F.explode(_references("value")).alias("ref")).distinct())
-    named = written(properties.withColumnRenamed("name", "ref").join(wanted, [*keys, "ref"], "left_semi"))
+    named = written(properties.withColumnRenamed("name", "ref").join(shuffled(wanted), [*keys, "ref"], "left_semi"))
     links = named.select(*keys, F.col("ref").alias("node"), F.explode(_references("value")).alias("to")).distinct()
     groups = connected(links, keys).withColumnRenamed("node", "ref")
     near = named.groupBy(*document, "ref").agg(F.min_by("value", "pos_order").alias("near"))
     far = named.groupBy(*keys, "ref").agg(F.min_by("value", F.struct("doc_order", "pos_order")).alias("far"))
     asked = asking.select(*document, F.explode(_references("value")).alias("ref")).distinct()
-    inside = asked.join(groups, [*keys, "ref"]).select(*document, "group").distinct()
-    reached = written(asked.unionByName(inside.join(groups, [*keys, "group"]).select(*document, "ref")).distinct())
-    texts = reached.join(near, [*document, "ref"], "left").join(far, [*keys, "ref"], "left")
+    inside = asked.join(shuffled(groups), [*keys, "ref"]).select(*document, "group").distinct()
+    reached = written(asked.unionByName(inside.join(shuffled(groups), [*keys, "group"]).select(*document, "ref")).distinct())
+    texts = reached.join(shuffled(near), [*document, "ref"], "left").join(shuffled(far), [*keys, "ref"], "left")
     return texts.select(*document, "ref", F.coalesce("near", "far").alias("text")).where("text IS NOT NULL")
 
 
@@ -118,19 +118,20 @@ def _settled_texts(texts: DataFrame, document: list[str]) -> DataFrame:
     """
     node = [*document, "ref"]
     known = texts.select(*document, F.col("ref").alias("to"))
-    edges = written(texts.select(*node, F.explode(_references("text")).alias("to")).join(known, [*document, "to"], "left_semi"))
+    edges = written(texts.select(*node, F.explode(_references("text")).alias("to")).join(shuffled(known), [*document, "to"], "left_semi"))
     _, endless = ending_nodes(edges.withColumnRenamed("ref", "node"), document)
     endless = endless.withColumnRenamed("node", "ref")
+    endless = shuffled(endless)
     now, edges = written(texts.join(endless, node, "left_anti")), written(edges.join(endless, node, "left_anti"))
     while not edges.isEmpty():
         filling = now.select(*document, F.col("ref").alias("to"), F.col("text").alias("filled"))
         # The references of one text: bounded by the text itself.
         one = F.struct(F.col("to").alias("ref"), F.col("filled").alias("text"))
-        found = edges.join(filling, [*document, "to"]).groupBy(*node).agg(F.collect_list(one).alias("found"))
+        found = edges.join(shuffled(filling), [*document, "to"]).groupBy(*node).agg(F.collect_list(one).alias("found"))
         text = F.when(F.col("found").isNull(), F.col("text")).otherwise(_filled("text", "found"))
-        now = written(now.join(found, node, "left").select(*node, text.alias("text")))
+        now = written(now.join(shuffled(found), node, "left").select(*node, text.alias("text")))
         further = edges.select(*document, F.col("ref").alias("to"), F.col("to").alias("further"))
-        edges = written(edges.join(further, [*document, "to"]).select(*node, F.col("further").alias("to")).distinct())
+        edges = written(edges.join(shuffled(further), [*document, "to"]).select(*node, F.col("further").alias("to")).distinct())
     return now
 
 
@@ -150,16 +151,16 @@ def resolve_placeholders(properties: DataFrame, keys: list[str]) -> tuple[DataFr
     settled = written(_settled_texts(texts, document))
     references = asking.select(*row, F.explode(_references("value")).alias("ref"))
     answers = (
-        references.join(texts.select(*document, "ref", F.lit(True).alias("known")), [*document, "ref"])
-        .join(settled, [*document, "ref"], "left")
+        references.join(shuffled(texts.select(*document, "ref", F.lit(True).alias("known"))), [*document, "ref"])
+        .join(shuffled(settled), [*document, "ref"], "left")
         .groupBy(*row)
         # The references of one value: bounded by the value itself.
         .agg(F.bool_or(F.col("text").isNull()).alias("circular"), F.collect_list(F.struct("ref", "text")).alias("found"))
     )
     answers = written(answers)
-    out = properties.join(answers.where(~F.col("circular")), row, "left")
+    out = properties.join(shuffled(answers.where(~F.col("circular"))), row, "left")
     out = out.withColumn("value", F.when(F.col("found").isNotNull(), _filled("value", "found")).otherwise(F.col("value")))
-    return out.select(*properties.columns), properties.join(answers.where("circular").select(*row), row, "left_semi")
+    return out.select(*properties.columns), properties.join(shuffled(answers.where("circular").select(*row)), row, "left_semi")
 
 
 def resolve_localhost(properties: DataFrame, container_ports: DataFrame, keys: list[str]) -> DataFrame:

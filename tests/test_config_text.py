@@ -2,6 +2,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from fleetscope.operators import config as config_ops
 from fleetscope.sources import config
 
 
@@ -86,3 +87,14 @@ def test_properties_and_profiles(spark):
         ("m/bootstrap.properties", 0, 0, "a", "1", "COMPILE"),
         ("m/bootstrap.properties", 0, 1, "c", "d", "COMPILE"),
     }
+
+
+def test_placeholder_joins_never_go_to_the_driver(spark):
+    """Resolved texts pack well: small files of them would be broadcast for their size."""
+    properties = spark.createDataFrame(
+        [("m", 0, 0, "a", "${b}-"), ("m", 0, 1, "b", "c"), ("m", 0, 2, "x", "${y}"), ("m", 0, 3, "y", "${x}")], "app string, doc_order int, pos_order int, name string, value string"
+    )
+    resolved, circular = config_ops.resolve_placeholders(properties, ["app"])
+    assert sorted(row.value for row in resolved.collect()) == ["${x}", "${y}", "c", "c-"] and circular.count() == 2
+    for df in (resolved, circular):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
