@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.functions import let, running_states
-from fleetscope.sources.files import directory, scan_artifacts, text_lines
+from fleetscope.sources.files import balanced, directory, scan_artifacts, text_lines
 
 _STATE = "struct<stack:array<struct<indent:int,key:string>>,value:string,item:boolean,mark:string>"
 # ``mark`` is the first character of an unquoted value that is an alias, an anchor or a flow map; ``origin`` is empty for
@@ -272,7 +272,7 @@ def compose_entries(files: DataFrame) -> DataFrame:
 
     # Bound once by let(): a column used inside a lambda would be parsed again for every element.
     return (
-        files.where(F.col("path").rlike(r"\.ya?ml$"))
+        balanced(files.where(F.col("path").rlike(r"\.ya?ml$")).select("app_id", "path", "content"))
         .select("app_id", "path", F.inline(let(yaml_entries(F.col("content")), of_file)))
         .drop("inside", "origin")
     )
@@ -297,7 +297,7 @@ def read_compose(files: DataFrame) -> DataFrame:
 
 def read_dockerfiles(files: DataFrame) -> DataFrame:
     """(app_id, path, line_no, directory, image, port): a line is a FROM or, without one, an EXPOSE."""
-    lines = scan_artifacts(files, "Dockerfile").select(
+    lines = balanced(scan_artifacts(files, "Dockerfile").select("app_id", "path", "content")).select(
         "app_id",
         "path",
         directory(F.col("path")).alias("directory"),

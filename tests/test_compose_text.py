@@ -1,7 +1,7 @@
 """Compose texts in the forms that people write."""
 
 from fleetscope.operators import deploy
-from fleetscope.sources.compose import compose_entries, read_compose, rejected_services
+from fleetscope.sources.compose import compose_entries, read_compose, read_dockerfiles, rejected_services
 
 TEXT = """x-base: &base
   image: base:1
@@ -58,3 +58,13 @@ def test_rejects_name_the_service(spark):
 
 def test_without_services_key(spark):
     assert containers(spark, "db: {image: mysql}\nweb:\n  build: ./web\n")[1] == {"db": ("mysql", "", False), "web": ("", "./web", False)}
+
+
+def test_compose_files_of_one_partition_are_parsed_in_several_tasks(spark):
+    text = "services:\n  a:\n    image: x\n" + "# filler\n" * 2000
+    files = spark.range(200).selectExpr("id AS app_id", "'compose.yml' AS path", f"'{text}' AS content").coalesce(1)
+    rows = read_compose(files)
+    assert rows.rdd.getNumPartitions() == 4  # 3.6 MB
+    assert rows.count() == 200
+    dockerfiles = spark.range(200).selectExpr("id AS app_id", "'a/Dockerfile' AS path", f"'FROM b\n{text}' AS content").coalesce(1)
+    assert read_dockerfiles(dockerfiles).rdd.getNumPartitions() == 4
