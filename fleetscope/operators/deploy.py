@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.functions.matching import join_contains
+from fleetscope.functions.runtime import shuffled
 
 CONTAINER = ["app_id", "container"]
 
@@ -105,10 +106,10 @@ def dockerfile_overlay(containers: DataFrame, dockerfile_rows: DataFrame) -> tup
     images = dockerfile_rows.groupBy("app_id", F.col("path").alias("dockerfile")).agg(
         F.max_by("image", F.when(F.col("image").isNotNull(), F.col("line_no"))).alias("file_image")
     )
-    found = placed.join(chosen, ["app_id", "place"], "left").join(images, ["app_id", "dockerfile"], "left")
+    found = placed.join(shuffled(chosen), ["app_id", "place"], "left").join(shuffled(images), ["app_id", "dockerfile"], "left")
     overlaid = found.withColumn("image", F.coalesce("file_image", "image")).drop("place", "file_image", "dockerfile")
     ports = (
-        placed.join(chosen, ["app_id", "place"])
+        placed.join(shuffled(chosen), ["app_id", "place"])
         .join(
             dockerfile_rows.where(F.col("port").isNotNull()).select(
                 "app_id", F.col("path").alias("dockerfile"), "line_no", "port"

@@ -68,3 +68,12 @@ def test_compose_files_of_one_partition_are_parsed_in_several_tasks(spark):
     assert rows.count() == 200
     dockerfiles = spark.range(200).selectExpr("id AS app_id", "'a/Dockerfile' AS path", f"'FROM b\n{text}' AS content").coalesce(1)
     assert read_dockerfiles(dockerfiles).rdd.getNumPartitions() == 4
+
+
+def test_dockerfiles_are_not_broadcast(spark):
+    files = spark.createDataFrame([(1, "a/b/Dockerfile", "FROM x\nFROM y\nEXPOSE 9")], "app_id long, path string, content string")
+    containers = spark.createDataFrame([(1, "c", "old", "./b"), (1, "d", "kept", "")], "app_id long, container string, image string, build string")
+    overlaid, ports = deploy.dockerfile_overlay(containers, read_dockerfiles(files))
+    assert {(row.container, row.image) for row in overlaid.collect()} == {("c", "y"), ("d", "kept")}
+    assert [(row.container, row.port) for row in ports.collect()] == [("c", "9")]
+    assert overlaid._jdf.queryExecution().optimizedPlan().toString().count("shuffle_hash") == 2
