@@ -137,6 +137,16 @@ def test_scopes(spark, width):
     assert {row.app_id: (row.scope, row.seq) for row in merged} == {a: e for a, e in expected.items() if e}
 
 
+def test_scopes_of_short_blocks_move_as_they_are(spark):
+    """A table of effects is longer than a few entries; only long blocks become one."""
+    rows = [(1, "g", "l", seq, scope) for seq, scope in enumerate(["TEST", "COMPILE", "TEST", "RUNTIME"] * 3 + ["COMPILE"])]
+    df = spark.createDataFrame(rows, "app_id long, group_name string, library_name string, seq long, scope string")
+    merged = build.merge_scopes(df, ["app_id"], block=F.when(F.col("seq") < 9, 0).otherwise(F.col("seq")))  # one of nine, four of one
+    found, place = scopes_by_hand([(row[3], row[4]) for row in rows])
+    assert [(row.scope, row.seq) for row in merged.collect()] == [(found, place)]
+    assert "entries" in merged._jdf.queryExecution().executedPlan().toString().split("collect_list(struct(block")[1][:60]
+
+
 def test_text_joins(spark):
     texts = spark.createDataFrame([(1, "abcabc"), (1, "xbc"), (2, "abc"), (1, "a")], "app_id int, text string")
     needles = spark.createDataFrame([(1, "bc"), (1, "abcabc"), (1, "zz"), (2, "c"), (1, "")], "app_id int, needle string")
