@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from fleetscope import rules
 from fleetscope.functions import after, before, contains_lit, order_key
 from fleetscope.functions.matching import join_contains
 from fleetscope.functions.ordering import ASYNC, CONTAINER, METHOD, PROPERTY, REST_TEMPLATE
+from fleetscope.functions.runtime import shuffled
 from fleetscope.functions.text import quoted
 from fleetscope.operators import evidence
 from fleetscope.operators.components import Merged
@@ -22,6 +24,11 @@ COLUMNS = [
     "evidence", "ord",
 ]
 PAIR = ["app_id", "service", "provider"]
+# What differs most stands first: sorts compare it first.
+CALL = ["invocation_key", "app_id"]
+EXCHANGE = "callee = 'exchange' AND receiver_type = 'RestTemplate' AND receiver_package = 'org.springframework.web.client'"
+SEND = "callee = 'convertAndSend'"
+EXCHANGE_OR_SEND = f"({EXCHANGE}) OR ({SEND})"
 
 _BLOCK_BITS = 20
 
@@ -135,7 +142,7 @@ def from_properties(properties: DataFrame, flags: DataFrame) -> DataFrame:
 def from_feign(methods: DataFrame, annotations: DataFrame, params: DataFrame) -> DataFrame:
     """Mapped methods of a type annotated as declared client."""
     clients = type_param(annotations, params, "FeignClient", ("name",), last=False)
-    joined = mapped_methods(methods, annotations, params).join(clients, ["app_id", "type_key"])
+    joined = mapped_methods(methods, annotations, params).join(clients, ["type_key", "app_id"])
     return _contribution(
         joined.withColumn("service", F.col("project"))
         .withColumn("provider", quoted(F.col("param_value")))
@@ -150,21 +157,35 @@ def from_feign(methods: DataFrame, annotations: DataFrame, params: DataFrame) ->
     )
 
 
-def from_rest_template(invocations: DataFrame, args: DataFrame) -> DataFrame:
-    """``exchange`` on a RestTemplate: provider and path from argument 1, verb from argument 2."""
-    calls = invocations.where(
-        (F.col("callee") == "exchange")
-        & (F.col("receiver_type") == "RestTemplate")
-        & (F.col("receiver_package") == "org.springframework.web.client")
+def calls_with_args(invocations: DataFrame, args: DataFrame, wanted: str) -> DataFrame:
+    """Calls that meet ``wanted``, with what the rules read of their arguments.
+
+    Arguments of other calls are dropped before they are sorted: the largest of texts takes a sort.
+    """
+    calls = invocations.where(wanted).select(
+        *CALL, "project", "callee", "receiver_type", "receiver_package", "root_method", "profile", "seq"
     )
     picked = (
-        args.where(F.col("arg_order") <= 2)
-        .groupBy("app_id", "invocation_key")
+        args.join(shuffled(calls.select(*CALL)), CALL, "left_semi")
+        .groupBy(*CALL)
         .agg(
+            F.count("*").alias("arg_count"),
             F.max(F.when(F.col("arg_order") == 1, F.col("arg_value"))).alias("url"),
             F.max(F.when(F.col("arg_order") == 2, F.col("arg_name"))).alias("verb_name"),
+            F.max(
+                F.when((F.col("arg_order") == 2) & (F.col("arg_value") != rules.NOT_AVAILABLE), F.col("arg_value"))
+            ).alias("key_text"),
         )
     )
+    return calls.join(picked, CALL)
+
+
+def from_rest_template(invocations: DataFrame, args: DataFrame) -> DataFrame:
+    """``exchange`` on a RestTemplate: provider and path from argument 1, verb from argument 2."""
+    return rest_template_rows(calls_with_args(invocations, args, EXCHANGE))
+
+
+def rest_template_rows(calls: DataFrame) -> DataFrame:
     full_host = before(after(F.col("url"), "//"), "/")
     at = F.instr(F.col("url"), F.col("full_host"))
     path = F.substring(F.col("url"), at + F.length("full_host"), F.length("url"))
@@ -172,7 +193,7 @@ def from_rest_template(invocations: DataFrame, args: DataFrame) -> DataFrame:
         contains_lit(F.col("verb_name"), "HttpMethod."), after(F.col("verb_name"), "HttpMethod.")
     ).otherwise("HTTP_REQUEST")
     joined = (
-        calls.join(picked.where(F.col("url") != rules.NOT_AVAILABLE), ["app_id", "invocation_key"])
+        calls.where(F.col("url") != rules.NOT_AVAILABLE)
         .withColumn("full_host", full_host)
         .withColumn(
             "provider",
@@ -207,15 +228,12 @@ def routing_key(value: Column, strict: bool = False) -> Column:
 
 def from_async(invocations: DataFrame, args: DataFrame, queues: DataFrame, strict: bool = False) -> DataFrame:
     """``convertAndSend`` with two arguments or more: every queue whose name contains the routing key."""
-    picked = args.groupBy("app_id", "invocation_key").agg(
-        F.count("*").alias("arg_count"),
-        F.max(
-            F.when((F.col("arg_order") == 2) & (F.col("arg_value") != rules.NOT_AVAILABLE), F.col("arg_value"))
-        ).alias("key_text"),
-    )
+    return async_rows(calls_with_args(invocations, args, SEND), queues, strict)
+
+
+def async_rows(calls: DataFrame, queues: DataFrame, strict: bool = False) -> DataFrame:
     sends = (
-        invocations.where(F.col("callee") == "convertAndSend")
-        .join(picked.where("arg_count >= 2"), ["app_id", "invocation_key"])
+        calls.where("arg_count >= 2")
         .withColumn("routing", routing_key(F.col("key_text"), strict))
         .where(F.col("routing") != "")
     )
@@ -319,15 +337,20 @@ def merge_dependencies(contributed: DataFrame) -> Merged:
     return Merged(rows, links.select(*PAIR, F.col("row_destination").alias("destination"), "evidence", "ord"))
 
 
-def contributions(facts, flags: DataFrame, queues: DataFrame | None = None) -> DataFrame:
+def contributions(
+    facts, flags: DataFrame, queues: DataFrame | None = None, materialize: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> DataFrame:
+    """``materialize`` is applied to the calls with their arguments, which two rules read."""
+    wanted = EXCHANGE if queues is None else EXCHANGE_OR_SEND
+    calls = materialize(calls_with_args(facts.java_invocation, facts.invocation_arg, wanted))
     parts = [
         from_links(facts.container_link, facts.container),
         from_properties(facts.property, flags),
         from_feign(facts.java_method, facts.java_annotation, facts.annotation_param),
-        from_rest_template(facts.java_invocation, facts.invocation_arg),
+        rest_template_rows(calls.where(EXCHANGE)),
     ]
     if queues is not None:
-        parts.append(from_async(facts.java_invocation, facts.invocation_arg, queues))
+        parts.append(async_rows(calls.where(SEND), queues))
     return reduce(DataFrame.unionByName, parts)
 
 

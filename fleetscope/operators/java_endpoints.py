@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from fleetscope import rules
 from fleetscope.functions import after, before, contains_lit, order_key
 from fleetscope.functions.ordering import LISTENER, METHOD, TYPE
+from fleetscope.functions.runtime import shuffled
 from fleetscope.functions.text import quoted
 from fleetscope.operators import evidence
 
-OWNER = ["app_id", "owner_key"]
+# What differs most stands first: sorts compare it first.
+OWNER = ["owner_key", "app_id"]
 PATH_PARAMS = ("value", "path", rules.NOT_AVAILABLE)
 
 
@@ -38,7 +40,7 @@ def type_param(
     """(app_id, type_key, param_value) of one annotation of a type; no row without such a parameter."""
     found = first_annotation(annotations, "type", F.col("annotation_name") == annotation)
     return (
-        found.join(params.where(F.col("param_name").isin(*names)), ["app_id", "annotation_key"])
+        found.join(params.where(F.col("param_name").isin(*names)), ["annotation_key", "app_id"])
         .groupBy(*OWNER)
         .agg(picked_param(params, names, last).alias("param_value"))
         .withColumnRenamed("owner_key", "type_key")
@@ -48,7 +50,7 @@ def type_param(
 def mapped_methods(methods: DataFrame, annotations: DataFrame, params: DataFrame) -> DataFrame:
     """Methods with a ``*Mapping`` annotation, with verb and path of the first such annotation."""
     mapping = first_annotation(annotations, "method", F.col("annotation_name").endswith("Mapping"))
-    values = params.groupBy("app_id", "annotation_key").agg(
+    values = params.groupBy("annotation_key", "app_id").agg(
         picked_param(params, ("method",), last=True).alias("method_param"),
         picked_param(params, PATH_PARAMS, last=True).alias("path_param"),
     )
@@ -57,8 +59,8 @@ def mapped_methods(methods: DataFrame, annotations: DataFrame, params: DataFrame
         F.when(named == "Request", F.lit("GET")).otherwise(named)
     )
     return (
-        methods.join(mapping.withColumnRenamed("owner_key", "method_key"), ["app_id", "method_key"])
-        .join(values, ["app_id", "annotation_key"], "left")
+        methods.join(mapping.withColumnRenamed("owner_key", "method_key"), ["method_key", "app_id"])
+        .join(values, ["annotation_key", "app_id"], "left")
         .withColumn("verb", verb)
         .withColumn("path", F.coalesce(quoted(F.col("path_param")), F.lit("")))
         .drop("annotation_key", "annotation_name", "method_param", "path_param")
@@ -84,8 +86,8 @@ def controller_endpoints(
     return (
         mapped_methods(methods, annotations, params)
         .where(F.col("verb") != "")
-        .join(_controllers(annotations), ["app_id", "type_key"], "left_semi")
-        .join(type_paths, ["app_id", "type_key"], "left")
+        .join(_controllers(annotations), ["type_key", "app_id"], "left_semi")
+        .join(type_paths, ["type_key", "app_id"], "left")
         .join(prefixes, ["app_id", "project"], "left")
         .withColumn("uri", F.concat(F.upper("verb"), F.lit(" "), type_prefix, "path"))
         .withColumn("ord", order_key(METHOD, F.col("seq")))
@@ -99,14 +101,14 @@ def repository_types(
     """Types exported as REST repositories, with the path of their collection."""
     found = first_annotation(annotations, "type", F.col("annotation_name") == "RepositoryRestResource")
     paths = (
-        found.join(params.where(F.col("param_name") == "path"), ["app_id", "annotation_key"])
+        found.join(params.where(F.col("param_name") == "path"), ["annotation_key", "app_id"])
         .groupBy(*OWNER)
         .agg(F.min_by("param_value", "seq").alias("param_value"))
         .withColumnRenamed("owner_key", "type_key")
     )
     return (
         types.select("app_id", "project", "type_key", "seq", "profile")
-        .join(paths, ["app_id", "type_key"])
+        .join(paths, ["type_key", "app_id"])
         .join(prefixes, ["app_id", "project"], "left")
         .withColumn(
             "collection", F.concat(F.coalesce("prefix", F.lit("")), F.lit("/"), quoted(F.col("param_value")))
@@ -134,13 +136,12 @@ def repository_searches(
     named = (
         annotations.where((F.col("owner_kind") == "parameter") & (F.col("annotation_name") == "Param"))
         .select("app_id", F.col("owner_key").alias("param_key"))
-        .distinct()
     )
     finders = methods.where(F.col("method_name").startswith("find"))
     # The parameters of one method: a list bounded by the declaration itself.
     lists = (
-        method_params.join(named, ["app_id", "param_key"], "left_semi")
-        .groupBy("app_id", "method_key")
+        method_params.join(shuffled(named), ["param_key", "app_id"], "left_semi")
+        .groupBy("method_key", "app_id")
         .agg(F.sort_array(F.collect_list(F.struct("param_order", "param_name"))).alias("found"))
         .select(
             "app_id",
@@ -149,8 +150,8 @@ def repository_searches(
         )
     )
     return (
-        finders.join(repositories.select("app_id", "type_key", "collection"), ["app_id", "type_key"])
-        .join(lists, ["app_id", "method_key"], "left")
+        finders.join(repositories.select("app_id", "type_key", "collection"), ["type_key", "app_id"])
+        .join(lists, ["method_key", "app_id"], "left")
         .withColumn(
             "uri",
             F.concat(
@@ -166,14 +167,14 @@ def queue_listeners(methods: DataFrame, annotations: DataFrame, params: DataFram
     """Methods listening on a queue: quoted queue name, or the raw expression without operation name."""
     found = first_annotation(annotations, "method", F.col("annotation_name") == "RabbitListener")
     queues = (
-        found.join(params.where(F.col("param_name") == "queues"), ["app_id", "annotation_key"])
+        found.join(params.where(F.col("param_name") == "queues"), ["annotation_key", "app_id"])
         .groupBy(*OWNER)
         .agg(F.max_by("param_value", "seq").alias("queues"))
         .withColumnRenamed("owner_key", "method_key")
     )
     is_quoted = contains_lit(F.col("queues"), '"')
     return (
-        methods.join(queues, ["app_id", "method_key"])
+        methods.join(queues, ["method_key", "app_id"])
         .withColumn("queue", F.when(is_quoted, quoted(F.col("queues"))).otherwise(F.col("queues")))
         .withColumn(
             "operation_name", F.when(is_quoted, F.concat("method_name", F.lit("()"))).otherwise("")
@@ -189,11 +190,10 @@ def body_params(method_params: DataFrame, annotations: DataFrame) -> DataFrame:
     bodies = (
         annotations.where((F.col("owner_kind") == "parameter") & (F.col("annotation_name") == "RequestBody"))
         .select("app_id", F.col("owner_key").alias("param_key"))
-        .distinct()
     )
     return (
-        method_params.join(bodies, ["app_id", "param_key"], "left_semi")
-        .groupBy("app_id", "method_key")
+        method_params.join(shuffled(bodies), ["param_key", "app_id"], "left_semi")
+        .groupBy("method_key", "app_id")
         .agg(
             F.min_by("type_name", "param_order").alias("body_type"),
             F.min_by("json_schema", "param_order").alias("body_schema"),
@@ -210,7 +210,7 @@ def first_params(method_params: DataFrame) -> DataFrame:
 def response_statuses(annotations: DataFrame, params: DataFrame) -> DataFrame:
     found = first_annotation(annotations, "method", F.col("annotation_name") == "ResponseStatus")
     return (
-        found.join(params.where(F.col("param_name") == "value"), ["app_id", "annotation_key"])
+        found.join(params.where(F.col("param_name") == "value"), ["annotation_key", "app_id"])
         .groupBy(*OWNER)
         .agg(F.min_by("param_value", "seq").alias("status"))
         .withColumnRenamed("owner_key", "method_key")
@@ -232,7 +232,7 @@ def _messages(methods: DataFrame, destination: str, kind: Column | str, schema:
 
 def method_messages(endpoint_methods: DataFrame, bodies: DataFrame) -> DataFrame:
     """Request message of the body parameter, response message of the declared return type."""
-    requests = endpoint_methods.join(bodies, ["app_id", "method_key"])
+    requests = endpoint_methods.join(bodies, ["method_key", "app_id"])
     responses = endpoint_methods.where(F.col("return_type").isNotNull())
     return _messages(requests, "uri", rules.REQUEST, "body_schema", 1).unionByName(
         _messages(responses, "uri", rules.RESPONSE, "return_schema", 2)
@@ -240,7 +240,7 @@ def method_messages(endpoint_methods: DataFrame, bodies: DataFrame) -> DataFrame
 
 
 def listener_messages(listeners: DataFrame, firsts: DataFrame) -> DataFrame:
-    return _messages(listeners.join(firsts, ["app_id", "method_key"]), "queue", rules.INBOUND, "body_schema", 1)
+    return _messages(listeners.join(firsts, ["method_key", "app_id"]), "queue", rules.INBOUND, "body_schema", 1)
 
 
 def _operations(methods: DataFrame, destination: str, description: Column) -> DataFrame:
@@ -262,13 +262,13 @@ def endpoint_operations(endpoint_methods: DataFrame, bodies: DataFrame, statuses
     ).when(F.col("status").isNotNull(), F.concat(F.lit(" responds with "), "status"))
     parts = F.array_compact(F.array(request, response))
     description = F.when(F.size(parts) > 0, F.concat(F.lit(" that"), F.array_join(parts, " and"))).otherwise("")
-    joined = endpoint_methods.join(bodies, ["app_id", "method_key"], "left").join(
-        statuses, ["app_id", "method_key"], "left"
+    joined = endpoint_methods.join(bodies, ["method_key", "app_id"], "left").join(
+        statuses, ["method_key", "app_id"], "left"
     )
     return _operations(joined, "uri", description)
 
 
 def listener_operations(listeners: DataFrame, firsts: DataFrame) -> DataFrame:
-    joined = listeners.join(firsts, ["app_id", "method_key"], "left")
+    joined = listeners.join(firsts, ["method_key", "app_id"], "left")
     description = F.coalesce(F.concat(F.lit(" that reads object "), "body_type"), F.lit(""))
     return _operations(joined, "queue", description)

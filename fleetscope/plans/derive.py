@@ -21,7 +21,7 @@ def derive(facts: Facts, materialize: Callable[[DataFrame], DataFrame] = lambda
     """All derived tables.
 
     ``materialize`` is applied to the tables that several rules read; pass
-    ``fleetscope.functions.runtime.cut_lineage`` for big runs so that they are computed once.
+    ``fleetscope.functions.runtime.written`` for big runs so that they are computed once.
     """
     tune(facts.container.sparkSession)
     flags = materialize(module_flags(facts.library, facts.property, facts.java_annotation))
@@ -48,7 +48,7 @@ def derive(facts: Facts, materialize: Callable[[DataFrame], DataFrame] = lambda
     listener = endpoints.merge_listeners(listeners)
     queues = listener.rows.select("app_id", "service", "queue")
     dependency = dependencies.merge_dependencies(
-        materialize(dependencies.contributions(facts, flags, queues))
+        materialize(dependencies.contributions(facts, flags, queues, materialize))
     )
 
     component_rows = materialize(component.rows)
