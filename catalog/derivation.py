@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from catalog.facts import FACT_SQL
 from catalog.registry import ORACLES, query, values
 from fleetscope import rules
-from fleetscope.functions.runtime import cut_lineage
+from fleetscope.functions.runtime import written
 from fleetscope.operators import components, dependencies, endpoints, services, topology
 from fleetscope.operators import java_endpoints as java
 from fleetscope.operators.flags import module_flags, registry_pair
@@ -32,7 +32,7 @@ def quoted_list(items) -> str:
 def flags_of(f):
     """The flags of all modules, computed once for all rules of a query."""
     if f._flags is None:
-        f._flags = cut_lineage(module_flags(f.library, f.property, f.java_annotation))
+        f._flags = written(module_flags(f.library, f.property, f.java_annotation))
     return f._flags
 
 
@@ -527,6 +527,7 @@ UNION ALL SELECT app_id, project, uri, method_key FROM search""",
     JAVA_FACTS,
 )
 def repository_rest_endpoints(f):
+    f.share_lines()
     repositories = repositories_of(f, endpoints.endpoint_prefixes(f.property))
     searches = java.repository_searches(repositories, f.java_method, f.method_param, f.java_annotation)
     collections = repositories.select(
@@ -748,6 +749,7 @@ operation_c AS (
 
 
 def operations_of(f):
+    f.share_lines()
     methods, bodies, firsts = method_found(f)
     statuses = java.response_statuses(f.java_annotation, f.annotation_param)
     return java.endpoint_operations(methods, bodies, statuses).unionByName(
@@ -946,9 +948,10 @@ dependency AS (
 
 
 def dependencies_of(f):
+    f.share_lines()
     queues = endpoints.merge_listeners(listeners_of(f)).rows.select("app_id", "service", "queue")
     # The merge reads its contributions several times.
-    return dependencies.merge_dependencies(cut_lineage(dependencies.contributions(f, flags_of(f), queues)))
+    return dependencies.merge_dependencies(written(dependencies.contributions(f, flags_of(f), queues, written)))
 
 
 @query("merge_dependencies", f"{ALL_DEPENDENCIES} SELECT * FROM dependency", DEPENDENCY_FACTS)
@@ -1034,7 +1037,7 @@ gateway_d AS (
 def recovered(f):
     """Merged component and endpoint rows, the input of the topology rules."""
     merged = components.merge_components(components.contributions(f, flags_of(f))).rows
-    return cut_lineage(merged), cut_lineage(endpoint_parts(f)[2].rows.drop("ord"))
+    return written(merged), written(endpoint_parts(f)[2].rows.drop("ord"))
 
 
 def forwarded_of(f, merged, published):
@@ -1076,6 +1079,7 @@ def gateway_default_routes(f):
     TOPOLOGY_FACTS,
 )
 def gateway_dependencies(f):
+    f.share_lines()
     merged, published = recovered(f)
     configured, default = forwarded_of(f, merged, published)
     columns = ["app_id", "service", "provider", "destination"]
@@ -1104,13 +1108,14 @@ FROM typed t LEFT JOIN used u ON t.app_id = u.app_id AND t.service = u.service
 )
 def overview(f):
     """Infrastructure and neighbours of every service, over dependencies of every kind."""
+    f.share_lines()
     merged, published = recovered(f)
     configured, default = forwarded_of(f, merged, published)
     columns = ["app_id", "service", "provider", "destination", "environment"]
     direct = dependencies_of(f).rows.select(*columns).unionByName(
         topology.circuit_breaker_dependencies(merged, published).select(*columns)
     )
-    direct = cut_lineage(direct)
+    direct = written(direct)
     every = direct.unionByName(
         topology.gateway_dependencies(configured.unionByName(default), direct).select(*columns)
     )
@@ -1121,8 +1126,9 @@ def overview(f):
 @query("derive")
 def derive_fleet(f):
     """The same overview from the whole derivation plan."""
+    f.share_lines()
     tables = {name: getattr(f, name) for name in FACT_SQL}
-    return service_overview(derive(Facts.of(f._spark, tables, "bigint"), cut_lineage))
+    return service_overview(derive(Facts.of(f._spark, tables, "bigint"), written))
 
 
 ORACLES["derive"] = ORACLES["service_overview"]

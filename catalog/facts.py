@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetscope import rules
-from fleetscope.functions.runtime import tune
+from fleetscope.functions.runtime import tune, written
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -325,6 +325,17 @@ FACT_SQL = {
     "invocation_arg": INVOCATION_ARG,
 }
 
+# Lines with their positions and orders: what the facts of calls and parameters are made of.
+_ORDERED_LINE = f"""
+SELECT o_orderkey, o_custkey, l_orderkey, l_linenumber, l_position, l_partkey, l_quantity, l_returnflag
+FROM (SELECT l_orderkey, l_linenumber, {LINE_NUMBER} AS l_position, l_partkey, l_quantity, l_returnflag FROM lineitem) line
+JOIN orders ON o_orderkey = l_orderkey"""
+_FROM_ORDERED_LINE = {
+    f"({_PARAM}) param JOIN orders ON o_orderkey = l_orderkey": """(SELECT o_orderkey, o_custkey, l_orderkey,
+  l_position AS l_linenumber, l_partkey AS partkey, l_returnflag AS flag FROM ordered_line) param""",
+    "FROM lineitem JOIN orders ON o_orderkey = l_orderkey": "FROM ordered_line",
+}
+
 
 def register(spark: SparkSession, sf_dir: str) -> None:
     tune(spark)
@@ -339,6 +350,7 @@ class LazyFacts:
         self._spark = spark
         self._seen: dict[str, DataFrame] = {}
         self._flags: DataFrame | None = None
+        self._lines_shared = False
         register(spark, sf_dir)
         # Counted once: as a subquery it would stand in the plan once for every use of an owner.
         self._services = str(spark.table("supplier").count())
@@ -346,11 +358,24 @@ class LazyFacts:
     def _sql(self, statement: str) -> DataFrame:
         return self._spark.sql(statement.replace(SERVICES, self._services))
 
+    def share_lines(self) -> None:
+        """Join lines with their orders once, into the shared folder, for a query that makes several facts of them."""
+        if not self._lines_shared:
+            written(self._spark.sql(_ORDERED_LINE)).createOrReplaceTempView("ordered_line")
+            self._lines_shared = True
+            self._seen.clear()
+
+    def _fact(self, name: str) -> str:
+        statement = FACT_SQL[name]
+        for join, shared in _FROM_ORDERED_LINE.items() if self._lines_shared else ():
+            statement = statement.replace(join, shared)
+        return statement
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._seen:
-            self._seen[name] = self._sql(FACT_SQL[name])
+            self._seen[name] = self._sql(self._fact(name))
         return self._seen[name]
 
 

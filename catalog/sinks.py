@@ -89,6 +89,7 @@ _FACT_ROWS = " UNION ALL ".join(
 @query("write_facts", _FACT_ROWS, tuple(FACT_SQL))
 def write_facts(f):
     """All fact tables written in buckets of applications and read again."""
+    f.share_lines()
     spark = f._spark
     folder = new_folder(spark, "facts")
     export.write_facts(Facts.of(spark, {name: getattr(f, name) for name in FACT_SQL}, "bigint"), folder)
