@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from fleetscope.llm.common import Lookup, bounded_batches, materialize
+from fleetscope.llm.common import Lookup, bounded_batches, materialize, tidy
 from fleetscope.llm.pretokens import load_ranks, split_text
 
 BETWEEN = b"\xff"  # never part of UTF-8
@@ -210,8 +210,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, buckets: int | None =
             }
         )
 
-    encoded = rows.mapInArrow(words, PACKED).repartition(count, "bucket").mapInArrow(encode_words, PACKED)
-    packed = encoded.unionByName(rows.mapInArrow(positions, PACKED))
+    encoded = rows.mapInArrow(tidy(words), PACKED).repartition(count, "bucket").mapInArrow(tidy(encode_words), PACKED)
+    packed = encoded.unionByName(rows.mapInArrow(tidy(positions), PACKED))
     return packed.groupBy("block").applyInArrow(assemble, "doc_id long, n_tokens long, ids binary")
 
 
@@ -227,4 +227,4 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
             texts = [None if ids is None else b"".join(map(token, np.frombuffer(ids, "<u4").tolist())) for ids in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(work, StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))
+    return encoded.mapInArrow(tidy(work), StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.llm.common import fold, labelled_sample
+from fleetscope.llm.common import fold, labelled_sample, tidy
 from fleetscope.llm.features import WIDTH, NGrams, keep_frequent, list_rows, sigmoid, sparse
 
 PARTS, HELD = 4, 2
@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found, pa.list_(pa.int32())), batch.column("label")], ["id", "found", "label"])
 
     sample = labelled_sample(docs, labels, label, PARTS, HELD, most)
-    got = sample.mapInArrow(encode, "id long, found array<int>, label int").toArrow().sort_by("id")
+    got = sample.mapInArrow(tidy(encode), "id long, found array<int>, label int").toArrow().sort_by("id")
     ids, label = got.column("id").to_numpy(), got.column("label").to_numpy()
     return train(list_rows(got.column("found")), label.astype(np.int64), (ids // 3) % 5 == 0)
 
@@ -134,7 +134,7 @@ def quality_scores(docs: DataFrame, model: dict, at_least: float = 0.7) -> DataF
             scores = [score(text) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(work), "doc_id long, score double")
     return scored.select("doc_id", (fold("doc_id", PARTS) == HELD).alias("held_out"), "score", (F.col("score") >= at_least).cast("int").alias("predicted"))
 
 
@@ -148,4 +148,4 @@ def keep_good(docs: DataFrame, model: dict, at_least: float = 0.7) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([score(text) >= at_least for text in batch.column(place).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidy(work), docs.schema)
