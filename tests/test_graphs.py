@@ -126,6 +126,17 @@ def test_library_effects_like_reading_step_by_step(spark, seed, circular):
     assert circular or rejected.count() == 0
 
 
+def test_build_files_never_go_to_the_driver(spark):
+    """Numbered files pack to a few bytes each: millions of them would be broadcast for the size of their table."""
+    poms = spark.createDataFrame([(1, "a/pom.xml", "a", "b"), (1, "b/pom.xml", "b", None)], "app_id long, path string, artifact_id string, parent_artifact_id string")
+    named = spark.createDataFrame([(1, "b/pom.xml", 0, "g", "lib", "COMPILE")], "app_id long, path string, pos int, group_name string, library_name string, scope string")
+    plans = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(build, "written", lambda df, keep=build.written: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+        assert build.library_effects(poms, named)[0].where("path = 'a/pom.xml'").first().library_name == "lib"
+    assert len(plans) > 6 and not any("BroadcastHashJoin" in plan for plan in plans[1:])
+
+
 def test_library_effects_report_circles(spark):
     files = {"xx": ("yy", []), "yy": ("xx", [("library", ("lib", "TEST"))]), "zz": ("xx", [("library", ("lib", "COMPILE"))])}
     libraries, rejected = build.library_effects(*pom_tables(spark, files))
